@@ -36,3 +36,13 @@ def assign_windows(df: DataFrame, ts: str, labels: list[str]) -> DataFrame:
     return out.withColumn("window_start_ns", start).withColumn(
         "window_end_ns", F.col("window_start_ns") + F.col("__length")
     ).drop("__length")
+
+
+def price_bars(trades: DataFrame, keys: list[str], ts: str = "trade_ts_ns", seq: str = "seq",
+               price: str = "price") -> DataFrame:
+    """Open, high, low and close in event order."""
+    order = F.struct(ts, seq)
+    return trades.groupBy(*keys).agg(
+        F.min_by(price, order).alias("open"), F.max(price).alias("high"),
+        F.min(price).alias("low"), F.max_by(price, order).alias("close"),
+    )

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from tapewright.plans import registry
-from tapewright.plans import queries_trades  # noqa: F401
+from tapewright.plans import (  # noqa: F401
+    queries_scalars, queries_stats, queries_trades,
+)
 
 
 def queries():

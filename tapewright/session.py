@@ -24,6 +24,7 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tapewright")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         # Rounds to whole powers keep small local jobs from planning idle tasks.
