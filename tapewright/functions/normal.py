@@ -39,15 +39,19 @@ def pdf(x: Column) -> Column:
     return F.lit(INV_SQRT_2PI) * F.exp(x * x * -0.5)
 
 
-def cdf(x: Column) -> Column:
-    z = F.abs(x)
+def upper_tail(z: Column) -> Column:
+    """Probability above z, for z >= 0. Give it a plain column: z occurs many times."""
     e = F.exp(z * z * -0.5)
     near = e * _horner(z, NUMERATOR) / _horner(z, DENOMINATOR)
     tail = z + 0.65
     for k in (4.0, 3.0, 2.0, 1.0):
         tail = z + F.lit(k) / tail
     far = e / tail / SQRT_2PI
-    upper = F.when(z > FAR, F.lit(0.0)).when(z < SPLIT, near).otherwise(far)
+    return F.when(z > FAR, F.lit(0.0)).when(z < SPLIT, near).otherwise(far)
+
+
+def cdf(x: Column) -> Column:
+    upper = upper_tail(F.abs(x))
     return F.when(x > 0, 1.0 - upper).otherwise(upper)
 
 

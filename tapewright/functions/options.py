@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.functions import normal
@@ -28,34 +28,63 @@ def tau_clamped(raw: Column) -> Column:
     return F.coalesce(raw < MIN_TAU_YEARS - 2.220446049250313e-16, F.lit(False))
 
 
-def price_and_greeks(direction, spot: Column, strike: Column, rate: Column, dividend: float,
-                     vol: Column, tau: Column) -> dict[str, Column]:
-    """Black-Scholes-Merton price, delta, gamma, vega and theta (per year).
+GREEK_COLUMNS = ("model_price", "delta", "gamma", "vega", "theta")
 
-    All five are null for non-positive inputs or a non-finite gamma or vega.
+
+def with_price_and_greeks(df: DataFrame, direction: str, spot: str, strike: str, rate: str,
+                          vol: str, tau: str, dividend: float) -> DataFrame:
+    """Black-Scholes-Merton price, delta, gamma, vega and theta (per year) of each row.
+
+    All five are null for non-positive inputs or a non-finite gamma or vega. The formula
+    is laid out in small projections so that shared terms are computed once and the
+    generated code stays within one method's limits.
     """
-    valid = F.coalesce((spot > 0) & (strike > 0) & (vol > 0) & (tau > 0), F.lit(False))
-    # Guarded inputs keep the arithmetic defined on rows that end up null.
-    s, k = F.when(valid, spot), F.when(valid, strike)
-    v, t = F.when(valid, vol), F.when(valid, tau)
-    root = F.sqrt(t)
-    spread = v * root
-    d1 = (F.ln(s / k) + (rate - dividend + v * v * 0.5) * t) / spread
-    d2 = d1 - spread
-    disc_r, disc_q = F.exp(-rate * t), F.exp(t * -dividend)
-    density, n1, n2 = normal.pdf(d1), normal.cdf(d1), normal.cdf(d2)
-    m1, m2 = normal.cdf(-d1), normal.cdf(-d2)
-    gamma = disc_q * density / (s * spread)
-    vega = s * disc_q * density * root
-    decay = -s * disc_q * density * v / (root * 2.0)
-    call = is_call(direction)
-    price = F.when(call, s * disc_q * n1 - k * disc_r * n2).otherwise(k * disc_r * m2 - s * disc_q * m1)
-    delta = F.when(call, disc_q * n1).otherwise(disc_q * (n1 - 1.0))
-    theta = F.when(call, decay + s * disc_q * n1 * dividend - rate * k * disc_r * n2).otherwise(
-        decay - s * disc_q * m1 * dividend + rate * k * disc_r * m2)
-    usable = valid & is_finite(gamma) & is_finite(vega)
-    named = {"model_price": price, "delta": delta, "gamma": gamma, "vega": vega, "theta": theta}
-    return {name: F.when(usable, value) for name, value in named.items()}
+    c = F.col
+    valid = F.coalesce((c(spot) > 0) & (c(strike) > 0) & (c(vol) > 0) & (c(tau) > 0), F.lit(False))
+    df = df.withColumns({
+        "__s": F.when(valid, c(spot)), "__k": F.when(valid, c(strike)),
+        "__v": F.when(valid, c(vol)), "__t": F.when(valid, c(tau)),
+    })
+    df = df.withColumns({
+        "__root": F.sqrt("__t"), "__dr": F.exp(-c(rate) * c("__t")),
+        "__dq": F.exp(c("__t") * -dividend),
+    })
+    df = df.withColumn("__spread", c("__v") * c("__root"))
+    drift = (c(rate) - dividend + c("__v") * c("__v") * 0.5) * c("__t")
+    df = df.withColumn("__d1", (F.ln(c("__s") / c("__k")) + drift) / c("__spread"))
+    df = df.withColumn("__d2", c("__d1") - c("__spread"))
+    df = df.withColumns({"__z1": F.abs("__d1"), "__z2": F.abs("__d2")})
+    df = df.withColumns({
+        "__u1": normal.upper_tail(c("__z1")), "__u2": normal.upper_tail(c("__z2")),
+        "__dens": normal.pdf(c("__d1")),
+    })
+    df = df.withColumns({
+        "__n1": F.when(c("__d1") > 0, 1.0 - c("__u1")).otherwise(c("__u1")),
+        "__m1": F.when(c("__d1") > 0, c("__u1")).otherwise(1.0 - c("__u1")),
+        "__n2": F.when(c("__d2") > 0, 1.0 - c("__u2")).otherwise(c("__u2")),
+        "__m2": F.when(c("__d2") > 0, c("__u2")).otherwise(1.0 - c("__u2")),
+        "__sq": c("__s") * c("__dq"), "__kr": c("__k") * c("__dr"), "__call": is_call(direction),
+    })
+    df = df.withColumns({
+        "gamma": c("__dq") * c("__dens") / (c("__s") * c("__spread")),
+        "vega": c("__sq") * c("__dens") * c("__root"),
+    })
+    usable = is_finite("gamma") & is_finite("vega")
+    decay = -c("__sq") * c("__dens") * c("__v") / (c("__root") * 2.0)
+    call_theta = decay + c("__sq") * c("__n1") * dividend - c(rate) * c("__kr") * c("__n2")
+    put_theta = decay - c("__sq") * c("__m1") * dividend + c(rate) * c("__kr") * c("__m2")
+    call = c("__call")
+    df = df.withColumns({
+        "model_price": F.when(usable, F.when(
+            call, c("__sq") * c("__n1") - c("__kr") * c("__n2"),
+        ).otherwise(c("__kr") * c("__m2") - c("__sq") * c("__m1"))),
+        "delta": F.when(usable, c("__dq") * F.when(call, c("__n1")).otherwise(c("__n1") - 1.0)),
+        "theta": F.when(usable, F.when(call, call_theta).otherwise(put_theta)),
+        "gamma": F.when(usable, c("gamma")), "vega": F.when(usable, c("vega")),
+    })
+    return df.drop("__s", "__k", "__v", "__t", "__root", "__dr", "__dq", "__spread", "__d1", "__d2",
+                   "__z1", "__z2", "__u1", "__u2", "__dens", "__n1", "__m1", "__n2", "__m2",
+                   "__sq", "__kr", "__call")
 
 
 def price_and_vega_np(call, spot, strike, rate, dividend, vol, tau):
