@@ -48,15 +48,18 @@ def carry_forward(
     if keep is not None:
         near = near.where(keep)
 
-    position = F.when(F.col("__value").isNotNull(), F.struct(*order))
-    tails = based.groupBy(*keys, "__slice").agg(F.max_by("__value", position).alias("__tail"))
+    # Only rows with a value are sorted into tails; which slices exist is a plain distinct.
+    tails = based.where(F.col("__value").isNotNull()).groupBy(*keys, "__slice").agg(
+        F.max_by("__value", F.struct(*order)).alias("__tail"))
+    present = based.select(*keys, "__slice").distinct()
     before = (
-        Window.partitionBy(*keys).orderBy("__slice")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = tails.select(
-        *keys, "__slice", F.last("__tail", ignorenulls=True).over(before).alias("__carry")
+        Window.partitionBy(*keys).orderBy("__slice").rangeBetween(Window.unboundedPreceding, -1)
     )
+    summary = tails.withColumn("__present", F.lit(False)).unionByName(
+        present.withColumn("__present", F.lit(True)), allowMissingColumns=True)
+    carry = summary.withColumn(
+        "__carry", F.last("__tail", ignorenulls=True).over(before)
+    ).where("__present").select(*keys, "__slice", "__carry")
     return (
         near.join(carry, [*keys, "__slice"], "left")
         .withColumn(name, F.coalesce("__near", "__carry"))

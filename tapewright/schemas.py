@@ -74,14 +74,12 @@ RUN_LOG = _struct("""
   state string NOT NULL, reason string, updated_ns bigint NOT NULL
 """)
 
-MANIFEST_FILES = _struct("""
+# One line per file of a run, so that a manifest of any length is written in parallel.
+MANIFEST = _struct("""
+  dataset string, date string, run_id string, schema_version int, generated_ns bigint,
   relative_path string, rows bigint, min_ts_ns bigint, max_ts_ns bigint,
   min_trade_uid string, max_trade_uid string
 """)
-MANIFEST = T.StructType(
-    _struct("dataset string, date string, run_id string, schema_version int, generated_ns bigint")
-    .fields + [T.StructField("files", T.ArrayType(MANIFEST_FILES))]
-)
 
 CURVE_POINTS = _struct("curve_date date, tenor_years double, rate double")
 

@@ -15,6 +15,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the Python call site of every column costs seconds on wide plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
