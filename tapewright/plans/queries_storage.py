@@ -58,16 +58,35 @@ def scan_equity_trades(spark, d):
                     "participant_ts_ns", "tape", "correction", "trf_ts_ns", "source")
 
 
-def _option_csv(spark, d):
-    return V.option_trades(spark, d).select(
+# Stored option trades are folded onto fifteen days: all rows, but a realistic number of
+# rows per date and root.
+FOLD_DAY, FOLD_DAYS = 19_723, 15
+
+
+def _folded_ts(ts="trade_ts_ns"):
+    day = S.floor_div(ts, S.DAY_NS)
+    return (F.lit(FOLD_DAY) + day % FOLD_DAYS) * F.lit(S.DAY_NS) + F.pmod(F.col(ts), F.lit(S.DAY_NS))
+
+
+V.define_view("folded", ("fx_option_trades",), f"""
+  select * replace (({FOLD_DAY} + trade_ts_ns // {S.DAY_NS} % {FOLD_DAYS}) * {S.DAY_NS}
+    + trade_ts_ns % {S.DAY_NS} as trade_ts_ns) from fx_option_trades""")
+
+
+def folded_options(spark, d):
+    return V.option_trades(spark, d).withColumn("trade_ts_ns", _folded_ts())
+
+
+def _option_csv(trades):
+    return trades.select(
         F.col("contract").alias("ticker"), F.lit("232").alias("conditions"), F.lit("").alias("correction"),
         "exchange", F.col("trade_ts_ns").alias("participant_timestamp"), "price",
         F.col("trade_ts_ns").alias("sip_timestamp"), "size")
 
 
-def _scanned_options(spark, d):
-    return flatfiles.option_trades(flatfiles.read_csv(spark, _land_csv(spark, _option_csv(spark, d),
-                                                                       "option-csv")))
+def _scanned(spark, trades):
+    path = _land_csv(spark, _option_csv(trades), "option-csv")
+    return flatfiles.option_trades(flatfiles.read_csv(spark, path))
 
 
 _OPTION_UID = sql_uid(S.OPTION_UID_TAG, "contract", "trade_ts_ns", "trade_ts_ns",
@@ -80,7 +99,7 @@ V.define_view("scanned_options", ("fx_option_trades",), f"""
   select contract, trade_uid, contract_direction, strike_price, underlying, trade_ts_ns, price, size,
     '232' as conditions, exchange, expiry_ts_ns, 'Unknown' as aggressor_side from scanned_options"""))
 def scan_option_trades(spark, d):
-    return _scanned_options(spark, d).select(
+    return _scanned(spark, V.option_trades(spark, d)).select(
         "contract", S.uid_hex("trade_uid").alias("trade_uid"), "contract_direction", "strike_price",
         "underlying", "trade_ts_ns", "price", "size", S.conditions_text("conditions").alias("conditions"),
         "exchange", "expiry_ts_ns", "aggressor_side")
@@ -345,13 +364,13 @@ def dependency_lag(spark, d):
 
 
 # ------------------------------------------------------------------------- sinks
-@query("write_option_trades", sql=V.with_views("fx_option_trades", f"""
+@query("write_option_trades", sql=V.with_views("folded", f"""
   select contract, trade_ts_ns, price, size,
     strftime(make_timestamp(trade_ts_ns // 1000), '%Y-%m-%d') as dt,
     {SQL_OPTION_PREFIX.replace('name', 'contract')} as root
-  from (select distinct contract, trade_ts_ns, price, size from fx_option_trades)"""))
+  from (select distinct contract, trade_ts_ns, price, size from folded)"""))
 def write_option_trades(spark, d):
-    path = T.write_option_trades(_scanned_options(spark, d), fresh_dir(spark, "store"))
+    path = T.write_option_trades(_scanned(spark, folded_options(spark, d)), fresh_dir(spark, "store"))
     return spark.read.parquet(path).select("contract", "trade_ts_ns", "price", "size",
                                            F.col("dt").cast("string").alias("dt"), "root")
 
@@ -393,11 +412,13 @@ def write_aggregations(spark, d):
                                            F.col("dt").cast("string").alias("dt"), "open", "close")
 
 
-@query("write_greeks_overlay", sql=V.with_views("overlaid", """
-  select strftime(make_timestamp(trade_ts_ns // 1000), '%Y-%m-%d') as dt, 'run-1' as run_id, seq as trade_uid,
+@query("write_greeks_overlay", sql=V.with_views("overlaid", f"""
+  select strftime(date '1970-01-01' + cast({FOLD_DAY} + trade_ts_ns // {S.DAY_NS} % {FOLD_DAYS} as integer),
+    '%Y-%m-%d') as dt, 'run-1' as run_id, seq as trade_uid,
     contract, round(delta, 7) as delta, flags as greeks_flags from overlaid"""))
 def write_greeks_overlay(spark, d):
     overlay = QO.G.overlay(QO.known_vol_greeks(spark, d), "v1", "run-1", F.lit(NOW_NS), uid="seq")
+    overlay = overlay.withColumn("trade_ts_ns", _folded_ts())
     path = T.write_greeks_overlay(overlay, fresh_dir(spark, "store"))
     return spark.read.parquet(path).select(
         F.col("dt").cast("string").alias("dt"), "run_id", "trade_uid", "contract",
@@ -406,12 +427,13 @@ def write_greeks_overlay(spark, d):
 
 def _stored_run(spark, d):
     root = fresh_dir(spark, "store")
-    table = T.write_option_trades(_scanned_options(spark, d), root)
+    table = T.write_option_trades(_scanned(spark, folded_options(spark, d)), root)
     return root, T.write_manifest(spark, table, root, "options", "run-1", 2, NOW_NS)
 
 
-V.define_view("stored_options", ("scanned_options",), """
-  select *, strftime(make_timestamp(trade_ts_ns // 1000), '%Y-%m-%d') as date from scanned_options
+V.define_view("stored_options", ("folded",), f"""
+  select *, strftime(make_timestamp(trade_ts_ns // 1000), '%Y-%m-%d') as date
+  from (select *, {_OPTION_UID} as trade_uid from folded)
   qualify row_number() over (partition by contract, trade_ts_ns, price, size order by trade_uid) = 1""")
 
 
