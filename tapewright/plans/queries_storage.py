@@ -400,12 +400,13 @@ def write_quotes(spark, d):
 
 
 @query("write_aggregations", sql=V.with_views("fx_trades", """
-  select instrument_id as symbol, '24h' as "window", (trade_ts_ns // 86400000000000) * 86400000000000
-      as window_start_ns, strftime(make_timestamp(trade_ts_ns // 1000), '%Y-%m-%d') as dt,
+  select instrument_id as symbol, '168h' as "window", (trade_ts_ns // 604800000000000) * 604800000000000
+      as window_start_ns,
+    strftime(make_timestamp((trade_ts_ns // 604800000000000) * 604800000000), '%Y-%m-%d') as dt,
     min_by(price, row(trade_ts_ns, seq)) as open, max_by(price, row(trade_ts_ns, seq)) as close
   from fx_trades group by all"""))
 def write_aggregations(spark, d):
-    t = assign_windows(V.trades(spark, d).withColumnRenamed("instrument_id", "symbol"), "trade_ts_ns", ["24h"])
+    t = assign_windows(V.trades(spark, d).withColumnRenamed("instrument_id", "symbol"), "trade_ts_ns", ["168h"])
     bars = price_bars(t, ["symbol", "window", "window_start_ns", "window_end_ns"])
     path = T.write_aggregations(bars, fresh_dir(spark, "store"))
     return spark.read.parquet(path).select("symbol", "window", "window_start_ns",
