@@ -6,6 +6,8 @@ instrument: one exchange and one sort of the data, no range join.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,50 +17,69 @@ from tapewright.operators.ordered import SLICE_NS, carry_forward
 NBBO_COLUMNS = ("bid", "ask", "bid_sz", "ask_sz", "state")
 
 
-def asof_join(
-    trades: DataFrame,
-    quotes: DataFrame,
-    trade_key: str = "instrument_id",
-    quote_key: str = "instrument_id",
-    trade_ts: str = "trade_ts_ns",
-    quote_ts: str = "quote_ts_ns",
-    trade_seq: str = "seq",
-    quote_seq: str = "seq",
-    columns: tuple[str, ...] = NBBO_COLUMNS,
-    prefix: str = "nbbo_",
-    max_age_us: int | None = None,
-    slice_ns: int = SLICE_NS,
+@dataclass(frozen=True)
+class Lookup:
+    """A right-hand side of an as-of join: what to look up, and under which names."""
+
+    rows: DataFrame
+    columns: tuple[str, ...] = NBBO_COLUMNS
+    prefix: str = "nbbo_"
+    key: str = "instrument_id"
+    ts: str = "quote_ts_ns"
+    seq: str = "seq"
+    max_age_us: int | None = None
+
+
+def asof_join_all(
+    trades: DataFrame, lookups: list[Lookup], trade_key: str = "instrument_id",
+    trade_ts: str = "trade_ts_ns", trade_seq: str = "seq", slice_ns: int = SLICE_NS,
 ) -> DataFrame:
-    """Attach to each trade the latest quote at or before it.
+    """Attach to each trade the latest row of every lookup at or before it, in one pass.
 
-    At equal times quotes come before trades and, among quotes, the highest ``seq``
+    At equal times looked-up rows come before trades and, among them, the highest ``seq``
     wins. Adds ``<prefix><column>``, ``<prefix>ts_ns`` and ``<prefix>age_us``; all are
-    null without a quote, or when the quote is older than ``max_age_us``.
+    null without a match, or when the match is older than ``max_age_us``.
     """
-    left = trades.withColumns({
+    both = trades.withColumns({
         "__key": F.col(trade_key), "__ts": F.col(trade_ts),
-        "__side": F.lit(1), "__seq": F.col(trade_seq),
+        "__side": F.lit(len(lookups)), "__seq": F.col(trade_seq),
     })
-    right = quotes.select(
-        F.col(quote_key).alias("__key"), F.col(quote_ts).alias("__ts"),
-        F.lit(0).alias("__side"), F.col(quote_seq).alias("__seq"),
-        F.struct(*[F.col(c) for c in columns], F.col(quote_ts).alias("ts_ns")).alias("__quote"),
-    )
-    both = left.unionByName(right, allowMissingColumns=True)
+    for i, look in enumerate(lookups):
+        both = both.unionByName(look.rows.select(
+            F.col(look.key).alias("__key"), F.col(look.ts).alias("__ts"),
+            F.lit(i).alias("__side"), F.col(look.seq).alias("__seq"),
+            F.struct(*[F.col(c) for c in look.columns], F.col(look.ts).alias("ts_ns"))
+            .alias(f"__row{i}"),
+        ), allowMissingColumns=True)
     carried = carry_forward(
-        both, ["__key"], "__ts", ["__ts", "__side", "__seq"], F.col("__quote"), "__match",
-        keep=F.col("__side") == 1, slice_ns=slice_ns,
+        both, ["__key"], "__ts", ["__ts", "__side", "__seq"],
+        {f"__match{i}": F.col(f"__row{i}") for i in range(len(lookups))},
+        keep=F.col("__side") == len(lookups), slice_ns=slice_ns,
     )
-    age = floor_div(F.col("__ts") - F.col("__match.ts_ns"), 1_000)
-    fresh = F.col("__match").isNotNull()
-    if max_age_us is not None:
-        fresh = fresh & (age <= F.lit(max_age_us).cast("bigint"))
-    added = {f"{prefix}{c}": F.when(fresh, F.col(f"__match.{c}")) for c in columns}
-    added[f"{prefix}ts_ns"] = F.when(fresh, F.col("__match.ts_ns"))
-    added[f"{prefix}age_us"] = F.when(fresh, F.greatest(age, F.lit(0).cast("bigint")))
+    added = {}
+    for i, look in enumerate(lookups):
+        match = F.col(f"__match{i}")
+        age = floor_div(F.col("__ts") - match["ts_ns"], 1_000)
+        fresh = match.isNotNull()
+        if look.max_age_us is not None:
+            fresh = fresh & (age <= F.lit(look.max_age_us).cast("bigint"))
+        added |= {f"{look.prefix}{c}": F.when(fresh, match[c]) for c in look.columns}
+        added[f"{look.prefix}ts_ns"] = F.when(fresh, match["ts_ns"])
+        added[f"{look.prefix}age_us"] = F.when(fresh, F.greatest(age, F.lit(0).cast("bigint")))
     return carried.withColumns(added).select(*trades.columns, *added)
 
 
+def asof_join(
+    trades: DataFrame, quotes: DataFrame, trade_key: str = "instrument_id",
+    quote_key: str = "instrument_id", trade_ts: str = "trade_ts_ns", quote_ts: str = "quote_ts_ns",
+    trade_seq: str = "seq", quote_seq: str = "seq", columns: tuple[str, ...] = NBBO_COLUMNS,
+    prefix: str = "nbbo_", max_age_us: int | None = None, slice_ns: int = SLICE_NS,
+) -> DataFrame:
+    """As-of join with a single lookup."""
+    look = Lookup(quotes, columns, prefix, quote_key, quote_ts, quote_seq, max_age_us)
+    return asof_join_all(trades, [look], trade_key, trade_ts, trade_seq, slice_ns)
+
+
 def asof_state(trades: DataFrame, quotes: DataFrame, **names) -> DataFrame:
     """Quote state before each trade, however old."""
     joined = asof_join(trades, quotes, columns=("state",), prefix="before_", **names)
@@ -85,7 +106,7 @@ def asof_underlying(
 def prev_price(trades: DataFrame, key: str = "instrument_id", ts: str = "trade_ts_ns",
                seq: str = "seq", price: str = "price", name: str = "prev_price") -> DataFrame:
     """Price of the previous trade of the same instrument, in event order."""
-    return carry_forward(trades, [key], ts, [ts, seq], F.col(price), name, include_current=False)
+    return carry_forward(trades, [key], ts, [ts, seq], {name: F.col(price)}, include_current=False)
 
 
 def last_underlying_trade(option_trades: DataFrame, underlying_trades: DataFrame,
@@ -106,12 +127,11 @@ def resolve_underlying_price(
 
     A price that is not finite and positive leaves the trade out.
     """
-    quoted = asof_join(option_trades, underlying_quotes, trade_key="underlying",
-                       columns=("bid", "ask"), prefix="__u_", max_age_us=max_age_us)
-    priced = last_underlying_trade(quoted, underlying_trades).withColumn(
-        "underlying_price",
-        F.coalesce(live_mid("__u_bid", "__u_ask"), F.col("last_underlying_price")),
-    )
+    priced = asof_join_all(option_trades, [
+        Lookup(underlying_quotes, ("bid", "ask"), "__u_", max_age_us=max_age_us),
+        Lookup(underlying_trades, ("price",), "__t_", ts="trade_ts_ns"),
+    ], trade_key="underlying").withColumn(
+        "underlying_price", F.coalesce(live_mid("__u_bid", "__u_ask"), F.col("__t_price")))
     priced = priced.select(*option_trades.columns, "underlying_price")
     if drop_unpriced:
         priced = priced.where(is_finite("underlying_price") & (F.col("underlying_price") > 0))

@@ -99,7 +99,7 @@ def prev_underlying_mid(df: DataFrame, cols: TradeColumns, eligible, mid: str,
                         name: str = "prev_underlying_mid") -> DataFrame:
     """Previous underlying mid recorded for the same underlying, over eligible rows only."""
     value = F.when(eligible, F.col(mid))
-    out = carry_forward(df, [cols.underlying], cols.ts, [cols.ts, cols.seq], value, name,
+    out = carry_forward(df, [cols.underlying], cols.ts, [cols.ts, cols.seq], {name: value},
                         include_current=False)
     return out.withColumn(name, F.when(eligible, F.col(name)))
 
@@ -142,10 +142,10 @@ def classify(
     cols: TradeColumns = TradeColumns(), underlying_quotes: DataFrame | None = None,
 ) -> DataFrame:
     """Full classification; adds the ``nbbo_*`` snapshot and the ``aggressor_*`` columns."""
-    joined = asof_join(trades, quotes, trade_key=cols.instrument, trade_ts=cols.ts,
+    ticked = prev_price(trades, cols.instrument, cols.ts, cols.seq, cols.price)
+    joined = asof_join(ticked, quotes, trade_key=cols.instrument, trade_ts=cols.ts,
                        trade_seq=cols.seq, max_age_us=params.staleness_us)
-    ticked = prev_price(joined, cols.instrument, cols.ts, cols.seq, cols.price)
-    out = tick_rule(quote_rule(ticked, params, cols.price), params, cols.price)
+    out = tick_rule(quote_rule(joined, params, cols.price), params, cols.price)
     if cols.delta is not None and underlying_quotes is not None and params.use_tick_rule_fallback:
         out = delta_alignment(out, underlying_quotes, params, cols)
     out = with_offset_bp(out, params, cols.price)

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.functions.scalars import DAY_NS, is_finite
-from tapewright.operators.asof import asof_join
-
-CURVE_SLICE_NS = 366 * DAY_NS
+from tapewright.functions.scalars import is_finite
 
 
 def curve_points(yields: DataFrame) -> DataFrame:
@@ -62,27 +59,25 @@ def with_curve_rate(df: DataFrame, points: str = "points", tau: str = "tau") ->
     return df.drop("__target", "__below", "__low", "__high", "__ld0", "__ld1", "__w")
 
 
-def curve_for_days(days: DataFrame, curve_dates: DataFrame) -> DataFrame:
-    """Per distinct day, the date of the curve to use: that day's or the latest before.
+def curve_calendar(curves: DataFrame) -> DataFrame:
+    """``dt, curve_date, points`` for every calendar day from the first to the last curve.
 
-    ``days`` has ``dt``; ``curve_dates`` has ``curve_date``. The result is one row per
-    calendar day, so nanosecond times bound it to the days of 584 years.
+    A day without its own curve has the latest earlier one. Nanosecond times span 584
+    years, so this is at most some 200 000 rows: small enough for one ordered window and
+    for a broadcast.
     """
-    day_ns = lambda c: F.unix_date(c).cast("bigint") * F.lit(DAY_NS)
-    left = days.select("dt").distinct().select(
-        "dt", F.lit("curve").alias("k"), day_ns("dt").alias("ts"), F.lit(0).alias("s"))
-    right = curve_dates.select("curve_date").distinct().select(
-        "curve_date", F.lit("curve").alias("k"), day_ns("curve_date").alias("ts"),
-        F.lit(0).alias("s"))
-    joined = asof_join(left, right, "k", "k", "ts", "ts", "s", "s", columns=("curve_date",),
-                       prefix="use_", slice_ns=CURVE_SLICE_NS)
-    return joined.select("dt", F.col("use_curve_date").alias("curve_date"))
-
-
-def curves_for_days(days: DataFrame, curves: DataFrame) -> DataFrame:
-    """``dt, curve_date, points``: the curve itself for each distinct day."""
-    return curve_for_days(days, curves).join(curves, "curve_date", "left").select(
-        "dt", "curve_date", "points")
+    following = F.lead("curve_date").over(Window.orderBy("curve_date"))
+    until = F.coalesce(F.date_sub(following, 1), F.col("curve_date"))
+    return curves.withColumn("__until", until).select(
+        F.explode(F.sequence("curve_date", "__until")).alias("dt"), "curve_date", "points")
+
+
+def with_day_curve(df: DataFrame, curves: DataFrame, day: str = "dt") -> DataFrame:
+    """Add ``curve_date`` and ``points``: the curve of the day, or the latest before it."""
+    last = curves.agg(F.max("curve_date").alias("__last"))  # one row
+    calendar = curve_calendar(curves).withColumnRenamed("dt", "__dt")
+    keyed = df.crossJoin(F.broadcast(last)).withColumn("__dt", F.least(day, "__last"))
+    return keyed.join(F.broadcast(calendar), "__dt", "left").drop("__dt", "__last")
 
 
 def latest_curve(curves: DataFrame) -> DataFrame:

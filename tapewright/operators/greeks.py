@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tapewright.functions import options as O
 from tapewright.functions.scalars import intrinsic, is_call, is_finite, utc_date
 from tapewright.operators.asof import asof_underlying
-from tapewright.operators.curves import curves_for_days, with_curve_rate
+from tapewright.operators.curves import with_curve_rate, with_day_curve
 from tapewright.operators.ordered import SLICE_NS
 
 # Reason flags (fixed values), one bit each.
@@ -160,15 +160,13 @@ _SOLVER_FLAGS = {
 }
 
 
-def pricing_inputs(quoted: DataFrame, day_curves: DataFrame) -> DataFrame:
+def pricing_inputs(quoted: DataFrame, curves: DataFrame) -> DataFrame:
     """Everything up to the volatility: curve, mid, time, rate, and the flags so far.
 
     ``quoted`` carries ``nbbo_*`` of the underlying. Adds ``curve_date``, ``mid``, ``tau``,
     ``rate``, ``priced`` (the row goes on to a volatility) and ``greeks_flags``.
     """
-    # One row per calendar day (see curve_for_days): small by construction.
-    dated = quoted.withColumn("__dt", utc_date("trade_ts_ns")).join(
-        F.broadcast(day_curves.withColumnRenamed("dt", "__dt")), "__dt", "left")
+    dated = with_day_curve(quoted.withColumn("__day", utc_date("trade_ts_ns")), curves, "__day")
     raw = O.tau_raw("expiry_ts_ns", "trade_ts_ns")
     staged = underlying_mid(dated).withColumn("__raw", raw).withColumn(
         "tau", O.tau_years(F.col("__raw")))
@@ -202,7 +200,7 @@ def pricing_inputs(quoted: DataFrame, day_curves: DataFrame) -> DataFrame:
         "greeks_flags": F.when(F.col("__stop") != 0, F.col("__stop"))
         .otherwise(soft.bitwiseOR(F.col("__late"))),
     })
-    return out.drop("__dt", "__raw", "__rate", "__extrapolated", "__stop", "__late", "points")
+    return out.drop("__day", "__raw", "__rate", "__extrapolated", "__stop", "__late", "points")
 
 
 def with_greeks(inputs: DataFrame, dividend: float = 0.0, iv: str | None = None) -> DataFrame:
@@ -262,8 +260,7 @@ def enrich_greeks(
     With ``vol`` all rows use that volatility instead of solving for one.
     """
     quoted = asof_underlying(option_trades, underlying_quotes, staleness_us, slice_ns)
-    days = option_trades.select(utc_date("trade_ts_ns").alias("dt"))
-    inputs = pricing_inputs(quoted, curves_for_days(days, curves))
+    inputs = pricing_inputs(quoted, curves)
     return with_known_vol(inputs, vol, dividend) if vol is not None \
         else with_greeks(inputs, dividend, iv)
 

@@ -27,41 +27,47 @@ def carry_forward(
     keys: Sequence[str],
     ts: str,
     order: Sequence[str],
-    value: Column,
-    name: str,
+    values: dict[str, Column],
     include_current: bool = True,
     keep: Column | None = None,
     slice_ns: int = SLICE_NS,
 ) -> DataFrame:
-    """Add ``name``: the last non-null ``value`` at or before each row of its key.
+    """Add, per name, the last non-null value at or before each row of its key.
 
     ``order`` must start with ``ts`` and be total. ``include_current=False`` looks at
-    earlier rows only. ``keep`` drops rows after the look-back (quotes, say).
+    earlier rows only. ``keep`` drops rows after the look-back (quotes, say). ``df`` is
+    read by three branches, so values that come from joins are best added afterwards.
     """
-    based = df.withColumns({"__slice": floor_div(ts, slice_ns), "__value": value})
+    names = list(values)
+    based = df.withColumns({"__slice": floor_div(ts, slice_ns)} | {
+        f"__v_{n}": v for n, v in values.items()})
     end = 0 if include_current else -1
     within = (
         Window.partitionBy(*keys, "__slice").orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, end)
     )
-    near = based.withColumn("__near", F.last("__value", ignorenulls=True).over(within))
+    near = based.withColumns({
+        f"__near_{n}": F.last(f"__v_{n}", ignorenulls=True).over(within) for n in names})
     if keep is not None:
         near = near.where(keep)
 
     # Only rows with a value are sorted into tails; which slices exist is a plain distinct.
-    tails = based.where(F.col("__value").isNotNull()).groupBy(*keys, "__slice").agg(
-        F.max_by("__value", F.struct(*order)).alias("__tail"))
+    has_value = F.lit(False)
+    for n in names:
+        has_value = has_value | F.col(f"__v_{n}").isNotNull()
+    tails = based.where(has_value).groupBy(*keys, "__slice").agg(*[
+        F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.struct(*order)))
+        .alias(f"__tail_{n}") for n in names])
     present = based.select(*keys, "__slice").distinct()
     before = (
         Window.partitionBy(*keys).orderBy("__slice").rangeBetween(Window.unboundedPreceding, -1)
     )
     summary = tails.withColumn("__present", F.lit(False)).unionByName(
         present.withColumn("__present", F.lit(True)), allowMissingColumns=True)
-    carry = summary.withColumn(
-        "__carry", F.last("__tail", ignorenulls=True).over(before)
-    ).where("__present").select(*keys, "__slice", "__carry")
-    return (
-        near.join(carry, [*keys, "__slice"], "left")
-        .withColumn(name, F.coalesce("__near", "__carry"))
-        .drop("__slice", "__value", "__near", "__carry")
-    )
+    carry = summary.withColumns({
+        f"__carry_{n}": F.last(f"__tail_{n}", ignorenulls=True).over(before) for n in names
+    }).where("__present").select(*keys, "__slice", *[f"__carry_{n}" for n in names])
+    out = near.join(carry, [*keys, "__slice"], "left").withColumns({
+        n: F.coalesce(f"__near_{n}", f"__carry_{n}") for n in names})
+    scratch = [f"__{part}_{n}" for part in ("v", "near", "carry") for n in names]
+    return out.drop("__slice", *scratch)

@@ -36,7 +36,7 @@ def enrich_run(
                          *[c for c in trades.columns if c.startswith("nbbo_")])
     trades = trades.withColumn("seq", F.xxhash64("trade_uid"))
     days = trades.select(utc_date("trade_ts_ns").alias("dt")).distinct()
-    usable = K.curve_for_days(days, curves)
+    usable = K.with_day_curve(days, curves).drop("points")
     none = F.lit(None).cast("string")
     _log(spark, root, dataset, run_id, usable, F.lit("InFlight"), none, now_ns)
 

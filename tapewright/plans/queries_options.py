@@ -134,12 +134,12 @@ def _quoted(spark, d):
 
 
 def _day_curves(spark, d):
-    days = V.option_trades(spark, d).select(utc_date("trade_ts_ns").alias("dt"))
-    return K.curves_for_days(days, curves(spark, d))
+    days = V.option_trades(spark, d).select(utc_date("trade_ts_ns").alias("dt")).distinct()
+    return K.with_day_curve(days, curves(spark, d))
 
 
 def _inputs(spark, d):
-    return G.pricing_inputs(_quoted(spark, d), _day_curves(spark, d))
+    return G.pricing_inputs(_quoted(spark, d), curves(spark, d))
 
 
 def known_vol_greeks(spark, d):
@@ -181,7 +181,8 @@ def curve_rate(spark, d):
     raw = O.tau_raw("expiry_ts_ns", "trade_ts_ns")
     dated = V.option_trades(spark, d).withColumns({
         "dt": utc_date("trade_ts_ns"), "tau": O.tau_years(raw),
-    }).join(F.broadcast(_day_curves(spark, d)), "dt")  # one row per calendar day
+    })
+    dated = K.with_day_curve(dated, curves(spark, d))
     rated = K.with_curve_rate(dated.where(F.col("points").isNotNull() & F.col("tau").isNotNull()))
     return rated.select("seq", "trade_ts_ns", "contract", F.round("rate", 9).alias("rate"),
                         "extrapolated")

@@ -201,7 +201,9 @@ def classify_quote_rule(spark, d):
   select seq, prev_price, aggressor_side, class_method, aggressor_confidence from classified
   where class_method in ('TickRule', 'Unknown')"""))
 def classify_tick_rule(spark, d):
-    ruled = C.quote_rule(asof.prev_price(_snapped(spark, d)), PARAMS)
+    joined = asof.asof_join(asof.prev_price(V.trades(spark, d)), state_quotes(spark, d),
+                            max_age_us=STALE_US)
+    ruled = C.quote_rule(joined, PARAMS)
     return C.tick_rule(ruled, PARAMS).where(
         F.col("class_method").isin("TickRule", "Unknown")
     ).select("seq", "prev_price", "aggressor_side", "class_method", "aggressor_confidence")
