@@ -25,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a file stream."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def _letter(key: str) -> Column:
     return F.concat(F.lit("S"), F.substring(F.lit(LETTERS), (F.col(key) % 20 + 1).cast("int"), F.lit(1)))
 
@@ -33,10 +39,10 @@ def _days(column: str) -> Column:
     return F.unix_date(F.col(column).cast("date")).cast("bigint") + F.lit(DAY_SHIFT)
 
 
-def _event_base(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...]) -> DataFrame:
+def _event_base(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...], read=table) -> DataFrame:
     bucket = F.col("user_id") % 20
     return (
-        table(spark, sf_dir, "events")
+        read(spark, sf_dir, "events")
         .where(F.col("event_type").isin(*kinds))
         .select(
             F.concat(F.lit("U"), F.lpad(bucket.cast("string"), 2, "0")).alias("instrument_id"),
@@ -47,9 +53,9 @@ def _event_base(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...]) -> Dat
     )
 
 
-def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quotes(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     e = F.col("event_id")
-    return _event_base(spark, sf_dir, ("view", "signup", "error")).select(
+    return _event_base(spark, sf_dir, ("view", "signup", "error"), read).select(
         "instrument_id", F.col("ts_ns").alias("quote_ts_ns"),
         F.round(F.col("base") - (e % 5) * 0.05, 2).alias("bid"),
         F.round(F.col("base") + (e % 6 - 1) * 0.05, 2).alias("ask"),
@@ -57,9 +63,9 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trades(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     e = F.col("event_id")
-    return _event_base(spark, sf_dir, ("purchase", "click")).select(
+    return _event_base(spark, sf_dir, ("purchase", "click"), read).select(
         "instrument_id", F.col("ts_ns").alias("trade_ts_ns"),
         F.round(F.col("base") + (e % 9 - 4) * 0.05, 2).alias("price"),
         (e % 50 + 1).alias("size"), (e % 12).cast("int").alias("exchange"),
@@ -67,8 +73,8 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def option_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem")
+def option_trades(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
+    line = read(spark, sf_dir, "lineitem")
     day = _days("l_shipdate")
     second = F.lit(OPEN_SECOND) + (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13) \
         % SESSION_SECONDS
