@@ -17,7 +17,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewright.operators.stats import runs
+from tapewright.operators.stats import runs, value_bin
+from tapewright.session import fresh_dir
+
+# Distinct values one task handles at a time.
+SLICE_POINTS = 200_000
 
 # Sizes at which the null distribution is tabulated, and its levels (fixed values).
 TABLE_SIZES = (4, 5, 6, 7, 8, 9, 10, 15, 20, 30, 50, 100, 200, 500, 1000, 2000, 5000, 10000,
@@ -41,16 +45,22 @@ def _lower_hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def dip(x: np.ndarray, counts: np.ndarray, allow_zero: bool = True) -> dict:
-    """Dip of sorted distinct values with counts: statistic and modal interval.
+    """Dip of sorted distinct values with counts: statistic and modal interval."""
+    after = np.cumsum(counts).astype(float)
+    return dip_of_limits(x, after - counts, after, allow_zero)
+
 
-    ``lo``/``hi`` are positions of the modal interval among the distinct values, ``gcm``
-    and ``lcm`` the hull positions within it.
+def dip_of_limits(x: np.ndarray, before: np.ndarray, after: np.ndarray, allow_zero: bool = True) -> dict:
+    """Dip from the distribution's left and right limits (as counts) at sorted points.
+
+    ``lo``/``hi`` are positions of the modal interval among the points, ``gcm`` and ``lcm``
+    the hull positions within it, ``trail`` every position that bounded the interval.
     """
-    total = int(counts.sum())
+    total = int(after[-1])
+    counts = after - before
     floor = 0.0 if allow_zero else 1.0
     low, high = 0, len(x) - 1
-    after = np.cumsum(counts).astype(float)  # at a value: the distribution, right limit
-    before = after - counts  # and left limit
+    trail = []
     best = floor
     gcm = lcm = np.array([low, high]) if high else np.array([0])
     while high > low:
@@ -84,10 +94,24 @@ def dip(x: np.ndarray, counts: np.ndarray, allow_zero: bool = True) -> dict:
             rows = np.arange(right + 1, high + 1)
             outer = max(1.0, outer, (np.interp(x[rows], x[lcm], after[lcm]) - before[rows]).max())
         best = max(best, outer)
+        trail += [int(left), int(right)]
         if (left, right) == (low, high):
             break
         low, high = int(left), int(right)
-    return {"dip": best / (2 * total), "lo": low, "hi": high, "gcm": gcm, "lcm": lcm}
+    return {"dip": best / (2 * total), "lo": low, "hi": high, "gcm": gcm, "lcm": lcm, "trail": trail}
+
+
+def skeleton(x: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Positions of a slice that decide hulls and distances while the modal interval's ends
+    lie in other slices: both hulls and, between neighbouring vertices of the one, the
+    vertices of the opposite hull."""
+    kept = []
+    for hull, opposite in ((_lower_hull(x, before), -after), (_lower_hull(x, -after), before)):
+        kept.append(hull)
+        for i, j in zip(hull[:-1], hull[1:]):
+            if j - i > 1:
+                kept.append(i + _lower_hull(x[i:j + 1], opposite[i:j + 1]))
+    return np.unique(np.concatenate(kept))
 
 
 def dip_of(sample: Sequence[float], allow_zero: bool = False, sort: bool = True) -> float:
@@ -103,26 +127,105 @@ def dip_of(sample: Sequence[float], allow_zero: bool = False, sort: bool = True)
     return dip(values, counts, allow_zero)["dip"]
 
 
-def dip_statistic(values: DataFrame, keys: Sequence[str], x: str, allow_zero: bool = True) -> DataFrame:
-    """Dip and modal interval per group.
+def _sliced(values: DataFrame, keys: list[str], x: str, slice_points: int) -> DataFrame:
+    """Distinct values of each group in slices of neighbouring values, as sorted arrays.
+
+    Slice bounds come from counts per value bin, so no task sees more than a slice.
+    """
+    counted = runs(values, keys, x).withColumn("__bin", value_bin(F.col("x")))
+    bins = counted.groupBy(*keys, "__bin").agg(
+        F.sum("c").alias("__in"), F.count(F.lit(1)).alias("__k"))
+    up_to = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+    points_before = F.sum("__k").over(up_to) - F.col("__k")
+    bins = bins.select(
+        *keys, "__bin", F.floor(points_before / F.lit(slice_points)).cast("int").alias("slice"),
+        (F.sum("__in").over(up_to) - F.col("__in")).alias("__before"))
+    placed = counted.join(bins, [*keys, "__bin"])
+    return placed.groupBy(*keys, "slice").agg(
+        F.min("__before").alias("start"), F.sort_array(F.collect_list(F.struct("x", "c"))).alias("p")
+    ).select(*keys, "slice", "start", F.col("p.x").alias("x"), F.col("p.c").alias("c"))
+
+
+def _limits(start: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    after = start + np.cumsum(counts).astype(float)
+    return after - counts, after
+
 
-    Groups are reduced to distinct values and counts before they are gathered.
+def dip_statistic(values: DataFrame, keys: Sequence[str], x: str, allow_zero: bool = True,
+                  slice_points: int = SLICE_POINTS) -> DataFrame:
+    """Dip and modal interval per group, exact for groups of any size.
+
+    A group of one slice is solved as it is. In a larger group every slice is reduced to its
+    skeleton, which gives the exact result as long as the modal interval's ends stay out of
+    reduced slices; slices the ends fall into are taken whole in another round.
     """
     keys = list(keys)
-    counted = runs(values, keys, x)
-    schema = T.StructType([counted.schema[k] for k in keys] + [
+    spark = values.sparkSession
+    path = fresh_dir(spark, "dip-slices")
+    _sliced(values, keys, x, slice_points).write.parquet(path)
+    sliced = spark.read.parquet(path)
+    key_fields = [sliced.schema[k] for k in keys]
+    part_schema = T.StructType(key_fields + [
+        T.StructField("slice", T.IntegerType()), T.StructField("whole", T.BooleanType()),
+    ] + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("x", "before", "after")])
+    out_schema = T.StructType(key_fields + [
         T.StructField("n", T.LongType()), T.StructField("dip", T.DoubleType()),
         T.StructField("modal_low", T.DoubleType()), T.StructField("modal_high", T.DoubleType()),
+        T.StructField("needed", T.ArrayType(T.IntegerType())),
     ])
 
-    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("x")
-        v, c = group["x"].to_numpy(), group["c"].to_numpy()
-        found = dip(v, c, allow_zero)
-        return pd.DataFrame([(*key, int(c.sum()), found["dip"], v[found["lo"]], v[found["hi"]])],
-                            columns=schema.fieldNames())
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            xs, befores, afters = [], [], []
+            for start, v, c, whole in zip(batch["start"], batch["x"], batch["c"], batch["whole"]):
+                before, after = _limits(start, np.asarray(c))
+                v = np.asarray(v)
+                rows = np.arange(len(v)) if whole else skeleton(v, before, after)
+                xs.append(v[rows]), befores.append(before[rows]), afters.append(after[rows])
+            yield batch[keys + ["slice", "whole"]].assign(x=xs, before=befores, after=afters)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for parts in batch["parts"]:
+                v, before, after = (np.concatenate([np.asarray(p[n]) for p in parts])
+                                    for n in ("x", "before", "after"))
+                owner = np.repeat(np.arange(len(parts)), [len(p["x"]) for p in parts])
+                found = dip_of_limits(v, before, after, allow_zero)
+                reached = {int(owner[i]) for i in found["trail"]}
+                needed = [int(parts[i]["slice"]) for i in sorted(reached) if not parts[i]["whole"]]
+                rows.append((int(after[-1]), found["dip"], v[found["lo"]], v[found["hi"]], needed))
+            yield pd.concat([batch[keys].reset_index(drop=True), pd.DataFrame(
+                rows, columns=["n", "dip", "modal_low", "modal_high", "needed"])], axis=1)
+
+    def round_of(slices: DataFrame) -> DataFrame:
+        parts = slices.mapInPandas(reduce, part_schema)
+        gathered = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(
+            F.struct("slice", "whole", "x", "before", "after"))).alias("parts"))
+        return gathered.mapInPandas(solve, out_schema)
 
-    return counted.groupBy(*keys).applyInPandas(one, schema)
+    single = sliced.groupBy(*keys).agg((F.count(F.lit(1)) == 1).alias("whole"))
+    marked = sliced.join(single, keys)
+    results = round_of(marked)
+    # Groups of one slice are always solved; rounds are only for larger ones, if any.
+    if sliced.where(F.col("slice") > 0).isEmpty():
+        return results.drop("needed")
+    solved = []
+    while True:
+        done = fresh_dir(spark, "dip-round")
+        results.write.parquet(done)
+        results = spark.read.parquet(done)
+        solved.append(results.where(F.size("needed") == 0))
+        open_groups = results.where(F.size("needed") > 0).select(*keys, F.col("needed").alias("__more"))
+        if open_groups.isEmpty():
+            break
+        marked = marked.join(open_groups, keys).withColumn(
+            "whole", F.col("whole") | F.array_contains("__more", F.col("slice"))).drop("__more")
+        results = round_of(marked)
+    whole = solved[0]
+    for more in solved[1:]:
+        whole = whole.unionByName(more)
+    return whole.drop("needed")
 
 
 # --------------------------------------------------------------- null distribution

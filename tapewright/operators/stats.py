@@ -92,7 +92,7 @@ def join_group(big: DataFrame, small: DataFrame, keys: Sequence[str], spread_by:
     return salted.join(spread, [*keys, "__salt"]).drop("__salt")
 
 
-def _bin(x: Column) -> Column:
+def value_bin(x: Column) -> Column:
     """A bin number that never decreases with x."""
     return F.floor(F.signum(x) * F.log1p(F.abs(x)) * float(BINS_PER_EFOLD))
 
@@ -100,7 +100,7 @@ def _bin(x: Column) -> Column:
 def order_statistics(run_table: DataFrame, keys: Sequence[str],
                      ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """Exact values at zero-based ranks; each rank is a function of the group size."""
-    binned = run_table.withColumn("__bin", _bin(F.col("x")))
+    binned = run_table.withColumn("__bin", value_bin(F.col("x")))
     in_group = Window.partitionBy(*keys)
     up_to = in_group.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = binned.groupBy(*keys, "__bin").agg(F.sum("c").alias("__in")).select(
