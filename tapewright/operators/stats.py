@@ -4,7 +4,7 @@ Input is a table of values: grouping columns and one double column. Nothing here
 gathers a group's values in one task. Moments are partial aggregates. Order
 statistics and histograms run over *runs* (one row per distinct value and its
 count), which are hashed by group and value; group-level numbers are joined back
-over salted keys, and exact quantiles first locate the value bin that holds a rank
+with hot groups salted, and exact quantiles first locate the value bin that holds a rank
 and then sort that bin only.
 """
 
@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.scalars import is_finite
 
-# Pieces into which the runs of one group are split when group numbers join them.
-SALTS = 64
+# A group is hot when it holds more than one part in HOT_PARTS of all rows, so there are
+# fewer than HOT_PARTS hot groups. Their runs are split into SALTS pieces.
+HOT_PARTS = 1_000
+SALTS = 256
 # Value bins per e-fold of |x|+1 used to narrow down a rank.
 BINS_PER_EFOLD = 256
 
@@ -84,11 +86,27 @@ def runs(values: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     )
 
 
-def join_group(big: DataFrame, small: DataFrame, keys: Sequence[str], spread_by: str,
-               salts: int = SALTS) -> DataFrame:
-    """Join one row per group onto many, splitting every group over ``salts`` tasks."""
-    spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = big.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+def hot_groups(run_table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys of the groups with more than one part in HOT_PARTS of all rows."""
+    sizes = run_table.groupBy(*keys).agg(F.sum("c").alias("__n"))
+    total = sizes.agg(F.sum("__n").alias("__total"))  # one row
+    return sizes.crossJoin(F.broadcast(total)).where(
+        F.col("__n") * HOT_PARTS > F.col("__total")).select(*keys)
+
+
+def join_group(run_table: DataFrame, small: DataFrame, keys: Sequence[str],
+               hot: DataFrame | None = None) -> DataFrame:
+    """Join one row per group onto its runs. Hot groups are split over SALTS tasks; the
+    others stay together, so that sums over them combine before the shuffle."""
+    hot = hot_groups(run_table, keys) if hot is None else hot
+    # Fewer than HOT_PARTS rows.
+    marked = F.broadcast(hot.withColumn("__hot", F.lit(True)))
+    pieces = F.when(F.col("__hot"), F.lit(SALTS - 1)).otherwise(F.lit(0))
+    piece = F.when(F.col("__hot"), F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")) \
+        .otherwise(F.lit(0))
+    spread = small.join(marked, list(keys), "left").withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0), pieces))).drop("__hot")
+    salted = run_table.join(marked, list(keys), "left").withColumn("__salt", piece).drop("__hot")
     return salted.join(spread, [*keys, "__salt"]).drop("__salt")
 
 
@@ -154,15 +172,17 @@ def quartiles(run_table: DataFrame, keys: Sequence[str]) -> DataFrame:
     return quantiles(run_table, keys, QUARTILES).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
-def mad(run_table: DataFrame, medians: DataFrame, keys: Sequence[str]) -> DataFrame:
+def mad(run_table: DataFrame, medians: DataFrame, keys: Sequence[str],
+        hot: DataFrame | None = None) -> DataFrame:
     """Median absolute deviation from the group's median."""
-    centred = join_group(run_table, medians.select(*keys, "median"), keys, "x")
+    centred = join_group(run_table, medians.select(*keys, "median"), keys, hot)
     deviations = centred.groupBy(*keys, F.abs(F.col("x") - F.col("median")).alias("x")).agg(
         F.sum("c").alias("c"))
     return quantiles(deviations, keys, {"mad": 0.5}).drop("n")
 
 
-def mode_estimate(run_table: DataFrame, spread: DataFrame, keys: Sequence[str]) -> DataFrame:
+def mode_estimate(run_table: DataFrame, spread: DataFrame, keys: Sequence[str],
+                  hot: DataFrame | None = None) -> DataFrame:
     """Most frequent value of small groups, densest histogram bin of larger ones.
 
     ``spread`` has n, minimum, maximum, stddev and iqr per group. Small groups: ties go
@@ -177,7 +197,7 @@ def mode_estimate(run_table: DataFrame, spread: DataFrame, keys: Sequence[str])
         *keys, "n", "minimum", F.when(F.col("n") > SMALL_MODE_N, width).alias("__w"),
         "maximum",
     ).withColumn("__bins", bins).drop("maximum")
-    joined = join_group(run_table, plan, keys, "x")
+    joined = join_group(run_table, plan, keys, hot)
     index = F.least(F.floor((F.col("x") - F.col("minimum")) / F.col("__w")), F.col("__bins") - 1)
     histogram = joined.groupBy(
         *keys, "n", "minimum", "__w", index.alias("__i"),
@@ -192,7 +212,8 @@ def mode_estimate(run_table: DataFrame, spread: DataFrame, keys: Sequence[str])
     return picked.select(*keys, F.coalesce(F.col("__b.__v"), mid_bin).alias("mode"))
 
 
-def kde_peaks(run_table: DataFrame, spread: DataFrame, keys: Sequence[str]) -> DataFrame:
+def kde_peaks(run_table: DataFrame, spread: DataFrame, keys: Sequence[str],
+              hot: DataFrame | None = None) -> DataFrame:
     """Number of peaks of a Gaussian density on a fixed grid between minimum and maximum.
 
     ``spread`` has n, minimum, maximum and stddev per group. The sums over values are
@@ -205,7 +226,7 @@ def kde_peaks(run_table: DataFrame, spread: DataFrame, keys: Sequence[str]) -> D
         (F.col("stddev") * 1.06 * F.pow(n, F.lit(-0.2))).alias("__h"),
         ((F.col("maximum") - F.col("minimum")) / float(KDE_STEPS)).alias("__step"),
     ).where((F.col("n") >= 3) & ~flat)
-    grid = join_group(run_table, plan, keys, "x").select(
+    grid = join_group(run_table, plan, keys, hot).select(
         *keys, "x", "c", "n", "minimum", "__h", "__step",
         F.explode(F.sequence(F.lit(0), F.lit(KDE_STEPS))).alias("__g"),
     )
@@ -233,9 +254,10 @@ def summarize(values: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     base = moments(values, keys, x)
     quarts = quartiles(counted, keys).drop("n")
     spread = base.join(quarts, keys)
+    hot = hot_groups(counted, keys)
     return (
         spread
-        .join(mad(counted, quarts, keys), keys)
-        .join(mode_estimate(counted, spread, keys), keys)
-        .join(kde_peaks(counted, spread, keys), keys)
+        .join(mad(counted, quarts, keys, hot), keys)
+        .join(mode_estimate(counted, spread, keys, hot), keys)
+        .join(kde_peaks(counted, base, keys, hot), keys)
     )
