@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapewright.llm import exact_copies, fair_mix, host_rules
+from tapewright.llm import cost_packing, exact_copies, fair_mix, host_rules, simhash
 
 QUERIES = {}
 ORACLES = {}
@@ -27,6 +27,20 @@ def table(spark, sf_dir, name, *columns):
 SQL_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
+def vocabulary():
+    """Path of the byte-level vocabulary; a module of the machine's tokenizer files knows it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op2_simhash")
+def op2(spark, sf_dir):
+    """Every document's fingerprint and component."""
+    marked = simhash.mark(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return marked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op5_fair_mix", rf"""
 with d as (
   select doc_id, source, len({SQL_WORDS}) as size,
@@ -60,6 +74,14 @@ def op5(spark, sf_dir):
     return fair_mix.mark(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
+@query("op8_cost_packing")
+def op8(spark, sf_dir):
+    """Every piece of every document, with its sequence and a checksum of its ids."""
+    packed = cost_packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary())
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
 @query("op9_exact_copies", """
 with n as (
   select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
