@@ -1,4 +1,62 @@
-"""The corpus pipeline: stages over ``documents``, each handing a written table to the next."""
+"""The corpus pipeline: stages over ``documents``, each handing a written table to the next.
 
-QUERIES = {}
-ORACLES = {}
+Every stage takes (spark, docs, sf_dir) and works on all rows of docs. All but the last
+return the columns of documents: quality rules, exact dedup, near-dedup and mixing
+keep, drop or repeat whole rows; packing returns the pieces of every document.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tapewright.llm import cost_packing, exact_copies, fair_mix, host_rules, simhash
+from tapewright.llm.common import stage
+from tapewright.llm.queries import vocabulary
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules of their host."""
+    return host_rules.keep_good(docs)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, the one with the largest doc_id."""
+    return exact_copies.deduplicate(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component, the one with the smallest doc_id."""
+    return simhash.deduplicate(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the weighted mix of the sources takes it."""
+    return fair_mix.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of 1024 tokens, with their ids."""
+    return cost_packing.pack(docs, vocabulary())
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
+]
+
+# Components and tokens are beyond SQL; tests/llm/test_pipeline.py has a plain version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {"pipeline": run}
+ORACLES = {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}
