@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapewright.llm import cost_packing, exact_copies, fair_mix, host_rules, simhash
+from tapewright.llm import cost_packing, exact_copies, fair_mix, host_rules, simhash, window_repeats
 
 QUERIES = {}
 ORACLES = {}
@@ -41,6 +41,30 @@ def op2(spark, sf_dir):
     return marked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op4_window_repeats", r"""
+with d as (
+  select row_number() over () as r, doc_id,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+g as (select r, doc_id, unnest(range(1, len(w) - 48)) as i, w from d where len(w) >= 50),
+h as (select r, doc_id, i, array_to_string(w[i:i + 49], ' ') as gram from g),
+f as (select *, min(doc_id) over (partition by gram) as first_id from h),
+gone as (select distinct r, unnest(range(i, i + 50)) as p from f where first_id < doc_id),
+k as (select d.r, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+left_over as (
+  select k.r, string_agg(word, ' ' order by k.p) as kept, count(*) as n
+  from k left join gone on k.r = gone.r and k.p = gone.p where gone.p is null group by k.r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed,
+       sha256(coalesce(kept, '')) as kept_sha256
+from d left join left_over on d.r = left_over.r
+""")
+def op4(spark, sf_dir):
+    """Every document's words, how many repeat from smaller ids, and a digest of the rest."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    out = window_repeats.remove_repeats(docs, finish=lambda kept: F.sha2(kept, 256))
+    return out.withColumnRenamed("kept", "kept_sha256")
+
+
 @query("op5_fair_mix", rf"""
 with d as (
   select doc_id, source, len({SQL_WORDS}) as size,
