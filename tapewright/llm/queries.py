@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapewright.llm import cost_packing, exact_copies, fair_mix, host_rules, simhash, window_repeats
+from tapewright.llm import cost_packing, exact_copies, fair_mix, host_rules, noisy_or, simhash, window_repeats
 
 QUERIES = {}
 ORACLES = {}
@@ -98,6 +98,16 @@ def op5(spark, sf_dir):
     return fair_mix.mark(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
+@query("op7_noisy_or")
+def op7(spark, sf_dir):
+    """Every document's toxicity, learned from the labels of rows that are not held out."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = noisy_or.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return noisy_or.score(docs, model).select(
+        "doc_id", noisy_or.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("op8_cost_packing")
 def op8(spark, sf_dir):
     """Every piece of every document, with its sequence and a checksum of its ids."""
