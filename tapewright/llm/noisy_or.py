@@ -37,6 +37,7 @@ RATE = 0.1
 SPARSE = 1e-4
 START_BIAS, END_BIAS = -7.0, -9.5
 STEM = 4      # letters that inflected forms of a word share
+NEVER = -700.0  # bias of a model without words
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"[^\W_]+")
 
@@ -73,7 +74,7 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     """Fit to documents with a label each. Full-batch Adam; the result is deterministic."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
-        return Model(leak=float(y.mean()) if len(y) else 0.0)
+        return Model(leak=float(y.mean()) if len(y) else 0.0, bias=NEVER)
     bags = [[sentence_words(t, a, b) for a, b in sentences(t)] for t in texts]
     seen = Counter(w for bag in bags for w in set().union(*bag))
     names = sorted(w for w, n in seen.items() if n >= MIN_DOCS)
