@@ -11,6 +11,8 @@ from tapewright.session import fresh_dir
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
+LAST = 2 ** 63 - 1  # stands for a null doc_id
+
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """The wanted names, each with underscores added until no column of df has it."""
@@ -75,3 +77,19 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     for key in keys:
         on = on & left[f"`{key}`"].eqNullSafe(right[f"`{key}`"])
     return on
+
+
+def keyed_rows(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(all rows, rows without copies of a row) as doc, tid, text.
+
+    doc is doc_id, or LAST where that is null. tid is zero unless doc_id repeats; then it
+    is a hash of the text."""
+    rows = docs.select(F.coalesce(quoted(doc_id).cast("long"), F.lit(LAST)).alias("doc"), quoted(text).alias("text"))
+    repeated = stage(rows.groupBy("doc").count().where("count > 1").select("doc"), "repeated-ids")
+    if repeated.isEmpty():
+        rows = rows.withColumn("tid", F.lit(0).cast("long"))
+        return rows, rows
+    marked = rows.join(repeated.withColumn("again", F.lit(True)), "doc", "left")
+    tid = F.when(F.col("again"), F.xxhash64(whole(F.col("text")))).otherwise(F.lit(0).cast("long"))
+    rows = marked.select("doc", "text", tid.alias("tid"))
+    return rows, rows.dropDuplicates(["doc", "tid"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapewright.llm import cost_packing, exact_copies, fair_mix, host_rules, noisy_or, simhash, window_repeats
+from tapewright.llm import cost_packing, exact_copies, fair_mix, host_rules, line_runs, noisy_or, simhash, window_repeats
 
 QUERIES = {}
 ORACLES = {}
@@ -41,6 +41,36 @@ def op2(spark, sf_dir):
     return marked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op3_line_runs", r"""
+with d as (
+  select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+e as (select r, doc_id, unnest(lines) as line, unnest(range(1, len(lines) + 1)) as p from d),
+f as (
+  select *, row_number() over (partition by r order by p) as k
+  from e where regexp_matches(line, '[^\x20\x09-\x0D]')),
+w as (
+  select r, doc_id, k, line || chr(10) || lead(line) over o || chr(10) || lead(line, 2) over o as run
+  from f window o as (partition by r order by k)),
+late as (
+  select r, k from (select *, row_number() over (partition by run order by doc_id nulls last, k) as n
+                    from w where run is not null) where n > 1),
+gone as (
+  select distinct f.r, f.p from (select r, unnest(range(k, k + 3)) as k from late) g join f on f.r = g.r and f.k = g.k),
+kept as (
+  select e.r, string_agg(line, chr(10) order by e.p) as kept
+  from e left join gone on e.r = gone.r and e.p = gone.p where gone.p is null group by e.r),
+n as (select r, count(*) as n from f group by r),
+m as (select r, count(*) as n from gone group by r)
+select doc_id, coalesce(n.n, 0) as n_lines, coalesce(m.n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join kept on d.r = kept.r left join n on d.r = n.r left join m on d.r = m.r
+""")
+def op3(spark, sf_dir):
+    """Every document's lines, how many are later copies of runs, and a digest of the rest."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    out = line_runs.remove_runs(docs, finish=lambda kept: F.sha2(kept, 256))
+    return out.withColumnRenamed("kept", "kept_sha256")
+
+
 @query("op4_window_repeats", r"""
 with d as (
   select row_number() over () as r, doc_id,

@@ -31,13 +31,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import quoted, stage, whole
+from tapewright.llm.common import LAST, keyed_rows, stage
 
 WINDOW = 50
 GRAM = 16
 ROWS = 2
 HOT = 10_000
-LAST = 2 ** 63 - 1
 BATCH = 100_000  # windows handed on at once
 MEMO = 500_000   # word hashes remembered by a worker
 # Odd multipliers of the rolling hashes.
@@ -98,21 +97,6 @@ def window_anchors(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -
     return least[:n]
 
 
-def _rows(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(all rows, rows without copies of a row) as doc, tid, text.
-
-    tid is zero unless doc_id repeats; then it is a hash of the text."""
-    rows = docs.select(F.coalesce(quoted(doc_id).cast("long"), F.lit(LAST)).alias("doc"), quoted(text).alias("text"))
-    repeated = stage(rows.groupBy("doc").count().where("count > 1").select("doc"), "window-ids")
-    if repeated.isEmpty():
-        rows = rows.withColumn("tid", F.lit(0).cast("long"))
-        return rows, rows
-    marked = rows.join(repeated.withColumn("again", F.lit(True)), "doc", "left")
-    tid = F.when(F.col("again"), F.xxhash64(whole(F.col("text")))).otherwise(F.lit(0).cast("long"))
-    rows = marked.select("doc", "text", tid.alias("tid"))
-    return rows, rows.dropDuplicates(["doc", "tid"])
-
-
 def anchors(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc, tid, anchor: the anchors of each document, each once."""
     def run(batches):
@@ -228,7 +212,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Per row: doc_id, n_words, n_removed, kept (its words that stay, joined by a space).
 
     finish is applied to kept before rows meet, so a digest moves instead of a text."""
-    rows, single = _rows(docs, doc_id, text)
+    rows, single = keyed_rows(docs, doc_id, text)
     touched, starts = repeated_starts(single, window, gram)
     changed = _cut(touched.join(starts, ["doc", "tid"]), window).select(
         "doc", "tid", F.struct("n_removed", finish(F.col("kept")).alias("kept")).alias("new"))
