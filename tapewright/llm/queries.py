@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapewright.llm import cost_packing, exact_copies, fair_mix, host_rules, line_runs, noisy_or, simhash, window_repeats
+from tapewright.llm import cost_packing, exact_copies, fair_mix, host_rules, line_runs, noisy_or, simhash, tool_links, window_repeats
 
 QUERIES = {}
 ORACLES = {}
@@ -128,6 +128,87 @@ def op5(spark, sf_dir):
     return fair_mix.mark(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
+# The conversations hold no calls, so Spark reads them as such: an assistant turn calls a
+# tool, the turn after it is the result. Ids, tools, needs and flaws follow from the
+# conversation and turn numbers, arguments and contents from the texts.
+TOOLS = ("count", "find", "show")
+SCHEMAS = {
+    "count": {"type": "object", "required": ["chars", "of"], "additionalProperties": False, "properties": {
+        "chars": {"type": "integer", "minimum": 1, "maximum": 600}, "of": {"enum": ["chars", "words"]}}},
+    "find": {"type": "object", "required": ["text"], "properties": {
+        "text": {"type": "string", "minLength": 2}, "deep": {"type": "boolean"}}},
+    "show": {"type": "object", "required": ["lines"], "properties": {
+        "lines": {"type": "array", "minItems": 1, "items": {"type": "integer"}}}},
+}
+
+
+def calls_and_results(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    ident = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    before = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - 2).cast("string"))
+    asked = turns.where("role = 'assistant'")
+    tool = F.element_at(F.array(*map(F.lit, (*TOOLS, "none"))), ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))
+    head = F.coalesce(F.element_at(F.split("text", "[^a-zA-Z]+"), 1), F.lit(""))
+    size = F.coalesce(F.char_length("text"), F.lit(0)).cast("string")
+    # White space and key order vary on purpose: canonical JSON must not.
+    arguments = (F.when(F.col("tool") == "count", F.concat(F.lit('{ "of": "chars",\n "chars":'), size, F.lit(" }")))
+                 .when(F.col("tool") == "find", F.concat(F.lit('{"text": "'), head, F.lit('", "deep": true}')))
+                 .when(F.col("tool") == "show", F.concat(F.lit('{"lines": ['), size, F.lit(", 7]}")))
+                 .otherwise(F.lit("{not json")))
+    calls = asked.select("conv_id", "turn", ident.alias("call_id"), tool.alias("tool"), "text",
+                         F.when(F.col("conv_id") % 7 == 0, F.array(before, F.lit("c-none"))).otherwise(
+                             F.array(before)).alias("needs")).withColumn("arguments", arguments)
+    owner = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - 1).cast("string"))
+    results = turns.where("turn > 0 and role = 'user'").select("conv_id", "turn", owner.alias("call_id"),
+                                                                F.col("text").alias("content"))
+    plain = turns.where("role is null or role not in ('assistant', 'user') or (role = 'user' and turn = 0)")
+    return calls, results, plain.withColumnRenamed("text", "content")
+
+
+@query("op6_tool_links", r"""
+with a as (
+  select conv_id, turn, 'c' || conv_id || '-' || turn as call_id, 'c' || conv_id || '-' || (turn - 2) as need,
+         ['count', 'find', 'show', 'none'][(conv_id + turn) % 4 + 1] as tool,
+         coalesce(length(text), 0) as size, coalesce(regexp_extract(text, '^[a-zA-Z]*'), '') as head
+  from conversations where role = 'assistant'),
+r as (
+  select conv_id, turn, 'c' || conv_id || '-' || (turn - 1) as call_id, text from conversations
+  where turn > 0 and role = 'user'),
+l as (
+  with recursive up(conv_id, call_id, turn, level) as (
+    select conv_id, call_id, turn, 0 from a where need not in (select call_id from a)
+    union all
+    select a.conv_id, a.call_id, a.turn, up.level + 1 from up join a on a.need = up.call_id)
+  select * from up),
+calls as (
+  select a.conv_id, a.turn, 'call' as kind, a.call_id, l.level,
+         case when r.call_id is null then 'open' else 'linked' end as status,
+         case when tool = 'none' then 'no JSON'
+              when tool = 'count' and not size between 1 and 600 then '$.chars: out of range'
+              when tool = 'find' and length(head) < 2 then '$.text: length ' || length(head) else '' end as problems,
+         '{"role":"assistant","tool_call":{"arguments":' || case tool
+           when 'count' then '{"chars":' || size || ',"of":"chars"}' when 'find' then '{"deep":true,"text":"' || head || '"}'
+           when 'show' then '{"lines":[' || size || ',7]}' else '{"unparsed":"{not json"}' end
+           || ',"id":"' || a.call_id || '","name":"' || tool || '"}}' as message
+  from a join l on a.call_id = l.call_id left join r on a.call_id = r.call_id),
+results as (
+  select r.conv_id, r.turn, 'result', r.call_id, l.level, case when a.call_id is null then 'orphan' else 'linked' end, '',
+         '{"content":' || coalesce(cast(to_json(text) as varchar), 'null') || ',"name":'
+           || coalesce('"' || a.tool || '"', 'null') || ',"role":"tool","tool_call_id":"' || r.call_id || '"}'
+  from r left join a on a.call_id = r.call_id left join l on l.call_id = r.call_id)
+select * from calls union all select * from results union all
+select conv_id, turn, 'message', null, null, 'plain', '',
+       '{"content":' || coalesce(cast(to_json(text) as varchar), 'null') || ',"role":'
+         || coalesce('"' || role || '"', 'null') || '}'
+from conversations where role is null or role not in ('assistant', 'user') or (role = 'user' and turn = 0)
+""")
+def op6(spark, sf_dir):
+    """Every call and result that the conversations stand for, linked, ordered and checked; the other turns as they are."""
+    calls, results, plain = calls_and_results(spark, sf_dir)
+    linked = tool_links.link(calls, results, SCHEMAS, plain)
+    return linked.withColumn("problems", F.array_join("problems", "; "))
+
+
 @query("op7_noisy_or")
 def op7(spark, sf_dir):
     """Every document's toxicity, learned from the labels of rows that are not held out."""
