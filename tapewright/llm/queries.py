@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapewright.llm import cost_packing, exact_copies, fair_mix, host_rules, line_runs, noisy_or, simhash, tool_links, window_repeats
+from tapewright.llm import (
+    block_labeller, cost_packing, exact_copies, fair_mix, host_rules, line_runs, noisy_or, simhash, tool_links,
+    window_repeats,
+)
 
 QUERIES = {}
 ORACLES = {}
@@ -34,6 +37,14 @@ def vocabulary():
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op1_block_labeller")
+def op1(spark, sf_dir):
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    found = block_labeller.extract(pages, block_labeller.fit(pages))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 @query("op2_simhash")
 def op2(spark, sf_dir):
     """Every document's fingerprint and component."""
