@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_CONTRACTS = 1_000
-
 
 def top_contracts(chain: DataFrame, n: int) -> DataFrame:
     """The n contracts with the highest score, larger of open interest and day volume.
@@ -16,7 +14,7 @@ def top_contracts(chain: DataFrame, n: int) -> DataFrame:
     score = F.greatest(F.coalesce("open_interest", F.lit(0.0)), F.coalesce("volume", F.lit(0.0)))
     return (
         chain.select("contract", score.alias("score"))
-        .orderBy(F.col("score").desc(), "contract").limit(min(n, MAX_CONTRACTS))
+        .orderBy(F.col("score").desc(), "contract").limit(n)
     )
 
 

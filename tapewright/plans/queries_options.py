@@ -10,7 +10,7 @@ from tapewright.operators import curves as K
 from tapewright.operators import greeks as G
 from tapewright.plans import queries_trades as QT
 from tapewright.plans import views as V
-from tapewright.plans.queries_scalars import sql_cdf
+from tapewright.plans.queries_scalars import sql_tail
 from tapewright.plans.registry import query
 
 STALE_US = QT.OPTION_STALE_US
@@ -19,9 +19,12 @@ DIVIDEND = 0.01
 
 
 def curves(spark, d):
-    # Every eleventh curve day is missing, so that some days fall back.
-    points = K.curve_points(V.yields(spark, d)).where(F.unix_date("curve_date") % 11 != 0)
-    return K.build_curves(points)
+    return K.build_curves(K.curve_points(V.yields(spark, d)))
+
+
+def gapped_curves(spark, d):
+    """Every eleventh curve day is missing, so that some days fall back."""
+    return curves(spark, d).where(F.unix_date("curve_date") % 11 != 0)
 
 
 def rough_quotes(spark, d):
@@ -37,7 +40,7 @@ def rough_quotes(spark, d):
 
 V.define_view("curve_pts", ("fx_yields",), """
   select curve_date, tenor_years, yield_pct / 100e0 as rate from fx_yields
-  where yield_pct is not null and date_diff('day', date '1970-01-01', curve_date) % 11 <> 0""")
+  where yield_pct is not null""")
 V.define_view("curves", ("curve_pts",), """
   select curve_date, list({'tenor': tenor_years, 'rate': rate} order by tenor_years) as points
   from curve_pts group by 1""")
@@ -45,6 +48,11 @@ V.define_view("day_curves", ("curves", "fx_option_trades"), """
   select dt, curve_date, points from (
     select distinct cast(make_timestamp(trade_ts_ns // 1000) as date) as dt from fx_option_trades)
   asof left join curves on dt >= curve_date""")
+V.define_view("gapped_days", ("curves", "fx_option_trades"), """
+  select dt, curve_date from (
+    select distinct cast(make_timestamp(trade_ts_ns // 1000) as date) as dt from fx_option_trades)
+  asof left join (select * from curves where date_diff('day', date '1970-01-01', curve_date) % 11 <> 0)
+    on dt >= curve_date""")
 V.define_view("rough_q", ("fx_underlying_quotes",), """
   select instrument_id, quote_ts_ns, bid_sz, ask_sz, seq,
     case when seq % 29 = 0 then bid - 0.5e0 when seq % 31 = 0 or seq % 37 = 0 then bid
@@ -72,7 +80,7 @@ V.define_view("opt_mid", ("opt_rough",), f"""
           case when nbbo_state <> 'Locked' then 33 else 0 end else 17 end
       when not bid_ok and not ask_ok then 129 else 0 end as mid_flags
     from (select *, coalesce(nbbo_bid > 0, false) as bid_ok, coalesce(nbbo_ask > 0, false) as ask_ok
-      from opt_rough))""")
+      from opt_rough))""", materialized=True)
 
 
 def sql_rate(points: str, tau: str) -> tuple[str, str]:
@@ -96,37 +104,35 @@ V.define_view("opt_inputs", ("opt_mid",), f"""
         else strike_price - mid end, 0) - 1e-4 then 1026 else 0 end as late,
       {_RATE} as any_rate, {_EXTRA} as extra
     from (select *, case when expiry_ts_ns > trade_ts_ns then
-        (expiry_ts_ns - trade_ts_ns) / 1e9 / 31536000e0 end as tau from opt_mid))""")
+        (expiry_ts_ns - trade_ts_ns) / 1e9 / 31536000e0 end as tau from opt_mid))""", materialized=True)
 
 
 def sql_greeks(source: str, vol: str) -> str:
-    """Closed-form Greeks over a relation with mid, strike_price, rate, tau."""
-    q = f"{DIVIDEND}e0".replace("0.01e0", "0.01e0")
+    """Closed-form Greeks over a relation with mid, strike_price, rate, tau; null unless priced.
+
+    Each tail of the normal distribution is one column; its four uses are taken from it."""
+    q = f"{DIVIDEND}e0"
     return f"""
-  select *, {vol} as iv,
-    case when contract_direction = 'C' then mid * dq * n1 - strike_price * dr * n2
-      else strike_price * dr * m2 - mid * dq * m1 end as model_price,
+  select * exclude (spot, root, spread, dr, dq, d1, d2, a1, a2, t1, t2, dens, n1, n2, m1, m2),
+    case when contract_direction = 'C' then spot * dq * n1 - strike_price * dr * n2
+      else strike_price * dr * m2 - spot * dq * m1 end as model_price,
     case when contract_direction = 'C' then dq * n1 else dq * (n1 - 1e0) end as delta,
-    dq * dens / (mid * spread) as gamma, mid * dq * dens * root as vega,
-    -mid * dq * dens * {vol} / (2e0 * root) + case when contract_direction = 'C'
-      then {q} * mid * dq * n1 - rate * strike_price * dr * n2
-      else -{q} * mid * dq * m1 + rate * strike_price * dr * m2 end as theta
-  from (select *, 0.3989422804014327e0 * exp(-0.5e0 * d1 * d1) as dens, {sql_cdf('d1')} as n1,
-      {sql_cdf('d2')} as n2, {sql_cdf('(-d1)')} as m1, {sql_cdf('(-d2)')} as m2
-    from (select *, d1 - spread as d2 from (
-      select *, (ln(mid / strike_price) + (rate - {q} + 0.5e0 * {vol} * {vol}) * tau) / spread as d1
-      from (select *, sqrt(tau) as root, {vol} * sqrt(tau) as spread, exp(-rate * tau) as dr,
-          exp(-{q} * tau) as dq from {source}))))"""
-
-
-V.define_view("priced_options", ("opt_inputs",), "select * from opt_inputs where priced")
-V.define_view("greeked", ("priced_options",), sql_greeks("priced_options", "0.3e0"))
-V.define_view("all_priced", ("opt_inputs", "greeked"), """
-  select i.seq, i.contract, i.trade_ts_ns, i.size, g.* exclude (seq, contract, trade_ts_ns, size)
-  from opt_inputs i left join greeked g using (seq, trade_ts_ns, contract, size)""")
-V.define_view("overlaid", ("opt_inputs", "greeked"), """
-  select i.*, g.iv, g.delta, g.gamma, g.vega, g.theta
-  from opt_inputs i left join greeked g using (seq, trade_ts_ns, contract, size)""")
+    dq * dens / (spot * spread) as gamma, spot * dq * dens * root as vega,
+    -spot * dq * dens * iv / (2e0 * root) + case when contract_direction = 'C'
+      then {q} * spot * dq * n1 - rate * strike_price * dr * n2
+      else -{q} * spot * dq * m1 + rate * strike_price * dr * m2 end as theta
+  from (select *, 0.3989422804014327e0 * exp(-0.5e0 * d1 * d1) as dens,
+      case when d1 > 0 then 1e0 - t1 else t1 end as n1, case when d2 > 0 then 1e0 - t2 else t2 end as n2,
+      case when d1 < 0 then 1e0 - t1 else t1 end as m1, case when d2 < 0 then 1e0 - t2 else t2 end as m2
+    from (select *, {sql_tail('a1')} as t1, {sql_tail('a2')} as t2
+      from (select *, d1 - spread as d2, abs(d1) as a1, abs(d1 - spread) as a2 from (
+        select *, (ln(spot / strike_price) + (rate - {q} + 0.5e0 * iv * iv) * tau) / spread as d1
+        from (select *, sqrt(tau) as root, iv * sqrt(tau) as spread, exp(-rate * tau) as dr, exp(-{q} * tau) as dq
+          from (select *, case when priced then mid end as spot, case when priced then {vol} end as iv
+            from {source}))))))"""
+
+
+V.define_view("overlaid", ("opt_inputs",), sql_greeks("opt_inputs", "0.3e0"), materialized=True)
 
 
 def _quoted(spark, d):
@@ -135,7 +141,7 @@ def _quoted(spark, d):
 
 def _day_curves(spark, d):
     days = V.option_trades(spark, d).select(utc_date("trade_ts_ns").alias("dt")).distinct()
-    return K.with_day_curve(days, curves(spark, d))
+    return K.with_day_curve(days, gapped_curves(spark, d))
 
 
 def _inputs(spark, d):
@@ -159,9 +165,9 @@ def build_curve(spark, d):
         F.size("points").cast("bigint").alias("n"), F.array_join(micro, ",").alias("micro_rates"))
 
 
-@query("asof_curve", sql=V.with_views("day_curves", """
+@query("asof_curve", sql=V.with_views("gapped_days", """
   select strftime(dt, '%Y-%m-%d') as dt, strftime(curve_date, '%Y-%m-%d') as curve_date
-  from day_curves"""))
+  from gapped_days"""))
 def asof_curve(spark, d):
     return _day_curves(spark, d).select(F.col("dt").cast("string"), F.col("curve_date").cast("string"))
 
@@ -216,8 +222,8 @@ def underlying_mid(spark, d):
 _ROUNDED = "round(delta, 7) as delta, round(gamma, 7) as gamma, round(vega, 6) as vega, round(theta, 6) as theta"
 
 
-@query("bs_price_greeks", sql=V.with_views("all_priced", f"""
-  select seq, contract, trade_ts_ns, round(model_price, 6) as model_price, {_ROUNDED} from all_priced"""))
+@query("bs_price_greeks", sql=V.with_views("overlaid", f"""
+  select seq, contract, trade_ts_ns, round(model_price, 6) as model_price, {_ROUNDED} from overlaid"""))
 def bs_price_greeks(spark, d):
     inputs = _inputs(spark, d).withColumn("vol", F.when(F.col("priced"), F.lit(TEST_VOL)))
     priced = O.with_price_and_greeks(inputs, "contract_direction",

@@ -218,33 +218,32 @@ def buy_probability(spark, d):
                                            (p * 2.0 - 1.0).alias("signed_factor"))
 
 
-# Hart's formula once more, as SQL text over one argument name.
-def sql_cdf(x: str) -> str:
+# Hart's formula once more, as SQL text over the name of a column that is not negative.
+def sql_tail(z: str) -> str:
     def horner(cs):
-        acc = f"({cs[0]!r} * abs({x}) + {cs[1]!r})"
+        acc = f"({cs[0]!r} * {z} + {cs[1]!r})"
         for c in cs[2:]:
-            acc = f"({acc} * abs({x}) + {c!r})"
+            acc = f"({acc} * {z} + {c!r})"
         return acc
 
     def dbl(text):
         import re
         return re.sub(r"(?<![\w.])(\d+\.\d+)(?!\d|e)", r"\1e0", text)
 
-    z = f"abs({x})"
     e = f"exp({z} * {z} * -0.5)"
     tail = f"({z} + 0.65)"
     for k in (4.0, 3.0, 2.0, 1.0):
         tail = f"({z} + {k} / {tail})"
     near = f"{e} * {horner(normal.NUMERATOR)} / {horner(normal.DENOMINATOR)}"
     far = f"{e} / {tail} / {normal.SQRT_2PI!r}"
-    upper = f"case when {z} > 37.0 then 0.0 when {z} < {normal.SPLIT!r} then {near} else {far} end"
-    return dbl(f"(case when {x} > 0 then 1.0 - ({upper}) else ({upper}) end)")
+    return dbl(f"(case when {z} > 37.0 then 0.0 when {z} < {normal.SPLIT!r} then {near} else {far} end)")
 
 
 @query("norm_pdf_cdf", sql=f"""
   select event_id, round(0.3989422804014327e0 * exp(-0.5e0 * x * x), 10) as pdf,
-    round({sql_cdf('x')}, 10) as cdf
-  from (select event_id, (value - 100e0) / 25e0 as x from events)""")
+    round(case when x > 0 then 1e0 - t else t end, 10) as cdf
+  from (select *, {sql_tail('z')} as t
+    from (select event_id, (value - 100e0) / 25e0 as x, abs((value - 100e0) / 25e0) as z from events))""")
 def norm_pdf_cdf(spark, d):
     x = (F.col("value") - 100.0) / 25.0
     return V.table(spark, d, "events").select(

@@ -196,10 +196,12 @@ def _texts(df, message):
     ).alias("value"))
 
 
-def quote_messages(spark, d):
+def quote_messages(spark, d, nameless=False):
+    """Quote messages; nameless leaves every seventh without a symbol."""
     e = F.col("seq")
+    named = (e % 7 != 0) | ~F.lit(nameless)
     message = F.struct(
-        F.lit("Q").alias("ev"), F.when(e % 7 != 0, F.col("instrument_id")).alias("sym"),
+        F.lit("Q").alias("ev"), F.when(named, F.col("instrument_id")).alias("sym"),
         F.col("bid").alias("bp"), F.col("ask").alias("ap"),
         F.when(e % 3 != 0, F.col("bid_sz")).alias("bs"), F.col("ask_sz").alias("as"),
         (e % 12).alias("bx"), (e % 11).alias("ax"), F.lit(1).alias("c"),
@@ -212,7 +214,7 @@ def quote_messages(spark, d):
     case when seq % 3 <> 0 then bid_sz else 0 end as bid_sz, ask_sz, state, 'Ws' as source,
     cast(seq % 12 as integer) as best_bid_venue from sq where seq % 7 <> 0"""))
 def decode_quote_msgs(spark, d):
-    return messages.decode_quotes(quote_messages(spark, d)).select(
+    return messages.decode_quotes(quote_messages(spark, d, nameless=True)).select(
         "instrument_id", "quote_ts_ns", "bid", "ask", "bid_sz", "ask_sz", "state", "source",
         "best_bid_venue")
 
@@ -282,7 +284,8 @@ def load_yield_curves(spark, d):
         F.round("tenor_years", 9).alias("tenor_years"), F.round("rate", 9).alias("rate"))
 
 
-def _chain(spark, d):
+def _chain(spark, d, nameless=False):
+    """Chain pages; nameless leaves every tenth contract without a ticker."""
     k, q = F.col("l_orderkey"), F.col("l_quantity")
     lines = V.table(spark, d, "lineitem")
     contract = F.concat(F.lit("O:"), k.cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"),
@@ -290,7 +293,7 @@ def _chain(spark, d):
     item = F.struct(
         F.when(k % 4 != 0, F.round(q * 3, 2)).alias("open_interest"),
         F.struct(F.when(k % 3 != 0, q).alias("volume")).alias("day"),
-        F.struct(F.when(k % 10 != 0, contract).alias("ticker")).alias("details"))
+        F.struct(F.when((k % 10 != 0) | ~F.lit(nameless), contract).alias("ticker")).alias("details"))
     return lines.select(F.array(item).alias("results"))
 
 
@@ -298,23 +301,24 @@ V.define_view("chain", (), """
   select 'O:' || l_orderkey || '-' || l_linenumber || '-' || l_partkey as contract,
     case when l_orderkey % 4 <> 0 then round(l_quantity * 3, 2) end as open_interest,
     case when l_orderkey % 3 <> 0 then l_quantity end as volume
-  from lineitem where l_orderkey % 10 <> 0""")
+  from lineitem""")
 
 
-@query("load_option_chain", sql=V.with_views("chain", "select * from chain"))
+@query("load_option_chain", sql=V.with_views("chain", """
+  select * from chain where cast(split_part(substr(contract, 3), '-', 1) as bigint) % 10 <> 0"""))
 def load_option_chain(spark, d):
     path = fresh_dir(spark, "chain")
-    _chain(spark, d).write.json(path)
+    _chain(spark, d, nameless=True).write.json(path)
     return landed.read_option_chain(spark, path, multi_line=False)
 
 
 @query("top_contracts", sql=V.with_views("chain", """
   select contract, greatest(coalesce(open_interest, 0), coalesce(volume, 0)) as score from chain
-  order by score desc, contract limit 500"""))
+  order by score desc, contract limit 2000"""))
 def top_contracts(spark, d):
     path = fresh_dir(spark, "chain")
     _chain(spark, d).write.json(path)
-    return U.top_contracts(landed.read_option_chain(spark, path, multi_line=False), 500)
+    return U.top_contracts(landed.read_option_chain(spark, path, multi_line=False), 2000)
 
 
 @query("universe_delta", sql=V.with_views("fx_option_trades", """
@@ -348,10 +352,10 @@ def range_envelope(spark, d):
     return H.range_envelope(ranges, NOW_NS)
 
 
-@query("dependency_lag", sql=V.with_views("day_curves", """
+@query("dependency_lag", sql=V.with_views("gapped_days", """
   select dataset, strftime(dt, '%Y-%m-%d') as dt, strftime(curve_date, '%Y-%m-%d') as dependency_dt,
     curve_date is null as missing, cast(date_diff('day', curve_date, dt) as integer) as lag_days
-  from day_curves, (values ('equities'), ('options')) as t(dataset)
+  from gapped_days, (values ('equities'), ('options')) as t(dataset)
   where curve_date is null or curve_date < dt"""))
 def dependency_lag(spark, d):
     days = QO._day_curves(spark, d).select(
@@ -392,7 +396,7 @@ def write_equity_trades(spark, d):
 @query("write_quotes", sql=V.with_views("sq", f"""
   select instrument_id, quote_ts_ns // 1000000 * 1000000 as quote_ts_ns, bid, ask, state,
     strftime(make_timestamp(quote_ts_ns // 1000), '%Y-%m-%d') as dt, {sql_alnum('instrument_id', 2)} as prefix
-  from sq where seq % 7 <> 0"""))
+  from sq"""))
 def write_quotes(spark, d):
     path = T.write_quotes(messages.decode_quotes(quote_messages(spark, d)), fresh_dir(spark, "store"))
     return spark.read.parquet(path).select("instrument_id", "quote_ts_ns", "bid", "ask", "state",

@@ -203,11 +203,15 @@ VIEW_SQL = {
 }
 # Views that read other views.
 VIEW_DEPS: dict[str, tuple[str, ...]] = {}
+MATERIALIZED: set[str] = set()
 
 
-def define_view(name: str, deps: tuple[str, ...], sql: str) -> None:
+def define_view(name: str, deps: tuple[str, ...], sql: str, materialized: bool = False) -> None:
+    """A view; materialized ones are computed once, which keeps deep expressions from nesting."""
     VIEW_SQL[name] = sql
     VIEW_DEPS[name] = deps
+    if materialized:
+        MATERIALIZED.add(name)
 
 
 def with_views(names, body: str) -> str:
@@ -222,5 +226,5 @@ def with_views(names, body: str) -> str:
 
     for name in names.split() if isinstance(names, str) else names:
         visit(name)
-    clauses = ",\n".join(f"{n} as ({VIEW_SQL[n]})" for n in ordered)
+    clauses = ",\n".join(f"{n} as {'materialized ' if n in MATERIALIZED else ''}({VIEW_SQL[n]})" for n in ordered)
     return f"with {clauses}\n{body}"
