@@ -149,7 +149,7 @@ def _land_days(spark, d, keep):
     return root
 
 
-_HOLIDAYS = ", ".join(f"date '{h}'" for h in calendar.all_holidays())
+_HOLIDAYS = ", ".join(f"date '{h}'" for h in calendar.all_holidays(2020, 2030))  # the years of the derived data
 _SQL_OPEN = f"isodow(dt) < 6 and dt not in ({_HOLIDAYS})"
 
 

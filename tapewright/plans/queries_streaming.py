@@ -42,18 +42,32 @@ def stream_windows(spark, d):
                                "stddev": F.round("stddev", 4)})
 
 
-@query("late_events")
+# Watermarks (ms) after the first nine tenths have arrived, and at the end.
+V.define_view("marks", ("fx_trades",), f"""
+  select (max(case when seq % 10 <> 0 then trade_ts_ns end) - {DELAY_NS}) // 1000000 as w1,
+    (max(trade_ts_ns) - {DELAY_NS}) // 1000000 as w2 from fx_trades""")
+V.define_view("arrivals", ("fx_trades", "marks"), f"""
+  select instrument_id, (trade_ts_ns // {DAY_NS} + 1) * {DAY_NS} as window_end_ns, w2,
+    seq % 10 = 0 and (trade_ts_ns // {DAY_NS} + 1) * {DAY_NS} <= w1 * 1000000 as late from fx_trades, marks""")
+
+
+@query("late_events", sql=V.with_views("arrivals", """
+  select count(distinct (instrument_id, window_end_ns)) filter (not late and window_end_ns <= w2 * 1000000) as windows,
+    cast(count(*) filter (not late and window_end_ns <= w2 * 1000000) as bigint) as trades,
+    cast(count(*) filter (late) as bigint) as late_rows
+  from arrivals"""))
 def late_events(spark, d):
-    """A tenth of the trades arrives after the watermark: dropped from closed windows, and counted."""
-    landed = fresh_dir(spark, "late")
+    """A tenth of the trades arrives after the watermark: kept out of closed windows, and counted."""
+    landed, out, state = (fresh_dir(spark, n) for n in ("late", "late-windows", "late-state"))
     trades = V.trades(spark, d)
-    late = F.pmod(F.xxhash64("seq"), F.lit(10)) == 0
-    trades.where(~late).coalesce(1).write.mode("append").parquet(landed)
-    trades.where(late).coalesce(1).write.mode("append").parquet(landed)
-    stream = spark.readStream.schema(trades.schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    result, progress = W.run_to_files(spark, W.stream_windows(stream, "24h", DELAY), "late-windows")
+    late = F.col("seq") % 10 == 0
+    trades.where(~late).write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(trades.schema).parquet(landed)
+    _, _, watermark = W.run_windows(spark, stream, "24h", DELAY, out, state)
+    trades.where(late).write.mode("append").parquet(landed)
+    result, rows, _ = W.run_windows(spark, stream, "24h", DELAY, out, state, watermark)
     return result.agg(F.count(F.lit(1)).alias("windows"), F.sum("trades").alias("trades")).withColumn(
-        "dropped_groups", F.lit(W.rows_dropped(progress)))
+        "late_rows", F.lit(rows).cast("bigint"))
 
 
 def _tape(spark, d):
@@ -92,19 +106,17 @@ def stream_dedup(spark, d):
     return W.run_to_files(spark, stream.select(*keys), "dedup")[0]
 
 
-def _enriched_stream(spark, d, curves_at, trades=None):
-    out = fresh_dir(spark, "live")
-    trades = trades if trades is not None else V.option_trades(spark, d, read=V.stream_table)
-    query_handle = E.enrich_stream(spark, trades, QO.rough_quotes(spark, d), curves_at, QO.STALE_US, out,
-                                   QO.DIVIDEND)
-    query_handle.awaitTermination()
+def _enriched_stream(spark, d, trades, curves_at, out=None, checkpoint=None):
+    out, checkpoint = out or fresh_dir(spark, "live"), checkpoint or fresh_dir(spark, "live-state")
+    E.enrich_stream(spark, trades, QO.rough_quotes(spark, d), curves_at, QO.STALE_US, out, checkpoint,
+                    QO.DIVIDEND).awaitTermination()
     return spark.read.parquet(out)
 
 
 @query("stream_enrich_sink")
 def stream_enrich_sink(spark, d):
     curves = QO.curves(spark, d)
-    live = _enriched_stream(spark, d, lambda batch: curves)
+    live = _enriched_stream(spark, d, V.option_trades(spark, d, read=V.stream_table), lambda batch: curves)
     return live.select("seq", "contract", "trade_ts_ns", "iv", "delta", "gamma", "vega", "theta",
                        "greeks_flags", "source", "watermark_ts_ns", "batch_id")
 
@@ -115,14 +127,14 @@ def stream_enrich_sink(spark, d):
     from lineitem) group by all""")
 def stream_curve_gate(spark, d):
     """Half the trades arrive before any curve is known and stay unpriced."""
-    landed = fresh_dir(spark, "gate")
+    landed, out, state = (fresh_dir(spark, n) for n in ("gate", "gate-live", "gate-state"))
     trades = V.option_trades(spark, d)
-    even = S.floor_div("seq", 10_000_000) % 2 == 0
-    trades.where(even).coalesce(1).write.mode("append").parquet(landed)
-    trades.where(~even).coalesce(1).write.mode("append").parquet(landed)
-    stream = spark.readStream.schema(trades.schema).option("maxFilesPerTrigger", 1).parquet(landed)
     curves = QO.curves(spark, d)
-    live = _enriched_stream(spark, d, lambda batch: curves.where(F.lit(batch > 0)), stream)
+    even = S.floor_div("seq", 10_000_000) % 2 == 0
+    for half in (even, ~even):   # the stream goes on from its checkpoint when the second half has landed
+        trades.where(half).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(trades.schema).parquet(landed)
+        live = _enriched_stream(spark, d, stream, lambda batch: curves.where(F.lit(batch > 0)), out, state)
     priced = F.col("greeks_flags").bitwiseAND(F.lit(QO.G.NO_TREASURY)) == 0
     return live.groupBy(F.col("batch_id").cast("int").alias("batch"), priced.alias("priced")).agg(
         F.count(F.lit(1)).alias("trades"))

@@ -42,25 +42,28 @@ def quote_partitions(df: DataFrame) -> DataFrame:
                            "prefix": S.instrument_prefix("instrument_id")})
 
 
-def write_option_trades(df: DataFrame, root: str) -> str:
-    """Deduplicate, then write ``option_trades/dt=/root=``."""
+def write_option_trades(df: DataFrame, root: str, mode: str = "append") -> str:
+    """Deduplicate, then write ``option_trades/dt=/root=``.
+
+    As for the other trade and quote sinks, parts of a day are appended; a whole day that
+    is loaded again is written with ``mode="overwrite"``, which replaces its partitions."""
     path = f"{root}/option_trades"
     first = hygiene.dedup_first(df, ["contract", "trade_ts_ns", "price", "size"],
                                 ["trade_ts_ns", "trade_uid"])
-    write_partitioned(option_trade_partitions(first), path, ["dt", "root"])
+    write_partitioned(option_trade_partitions(first), path, ["dt", "root"], mode)
     return path
 
 
-def write_equity_trades(df: DataFrame, root: str) -> str:
+def write_equity_trades(df: DataFrame, root: str, mode: str = "append") -> str:
     path = f"{root}/equity_trades"
     first = hygiene.dedup_equity_trades(df)
-    write_partitioned(equity_trade_partitions(first), path, ["dt", "symbol_prefix"])
+    write_partitioned(equity_trade_partitions(first), path, ["dt", "symbol_prefix"], mode)
     return path
 
 
-def write_quotes(df: DataFrame, root: str) -> str:
+def write_quotes(df: DataFrame, root: str, mode: str = "append") -> str:
     path = f"{root}/nbbo"
-    write_partitioned(quote_partitions(df), path, ["dt", "prefix"])
+    write_partitioned(quote_partitions(df), path, ["dt", "prefix"], mode)
     return path
 
 
@@ -72,9 +75,10 @@ def write_aggregations(df: DataFrame, root: str) -> str:
 
 
 def write_greeks_overlay(df: DataFrame, root: str, dataset: str = "options") -> str:
+    """A repeated run replaces its own partitions (``dt``, ``run_id``) and no others."""
     path = f"{root}/greeks/{dataset}"
     dated = df.withColumn("dt", S.utc_date("trade_ts_ns"))
-    write_partitioned(dated, path, ["dt", "run_id"])
+    write_partitioned(dated, path, ["dt", "run_id"], mode="overwrite")
     return path
 
 

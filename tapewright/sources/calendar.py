@@ -1,4 +1,8 @@
-"""Exchange trading days 2020-2030."""
+"""Exchange trading days of any year, by the rules in force since 2022.
+
+The holiday rules are arithmetic, so a calendar is computed for the years that are asked
+for or that the data holds. Earlier years follow the same rules, except that Juneteenth
+starts in 2022; single closings are listed."""
 
 from __future__ import annotations
 
@@ -7,7 +11,6 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FIRST_YEAR, LAST_YEAR = 2020, 2030
 # Single closings outside the yearly rules (fixed values): days of mourning.
 EXTRA_CLOSINGS = (date(2025, 1, 9),)
 
@@ -55,8 +58,10 @@ def holidays(year: int) -> list[date]:
     return sorted(days + [x for x in EXTRA_CLOSINGS if x.year == year])
 
 
-def all_holidays() -> list[date]:
-    return [d for y in range(FIRST_YEAR, LAST_YEAR + 1) for d in holidays(y)]
+def all_holidays(first: int, last: int) -> list[date]:
+    """Holidays of the years from first to last. A Saturday New Year's Day is not observed
+    in the year before, so no year needs its neighbours."""
+    return [d for y in range(first, last + 1) for d in holidays(y)]
 
 
 def date_range(spark: SparkSession, start: str, end: str) -> DataFrame:
@@ -65,17 +70,28 @@ def date_range(spark: SparkSession, start: str, end: str) -> DataFrame:
     return spark.range(1).select(F.explode(span).alias("dt"))
 
 
+def _open_days(df: DataFrame, day: str, first: int, last: int) -> DataFrame:
+    """Rows of df on trading days; their years lie between first and last.
+
+    About ten holidays a year are sent as a table; Spark chooses the join by its size."""
+    closed = df.sparkSession.createDataFrame([(d,) for d in all_holidays(first, last)], "closed date")
+    weekdays = df.where(F.weekday(day) < 5)
+    return weekdays.join(closed, F.col(day) == F.col("closed"), "left_anti")
+
+
 def trading_days(spark: SparkSession, start: str, end: str) -> DataFrame:
-    """Trading days between two dates; the calendar covers 2020 to 2030."""
-    if not f"{FIRST_YEAR}-01-01" <= start <= end <= f"{LAST_YEAR}-12-31":
-        raise ValueError(f"calendar covers {FIRST_YEAR}-{LAST_YEAR}")
-    closed = [F.lit(d) for d in all_holidays()]  # about ten a year
-    return date_range(spark, start, end).where(
-        (F.weekday("dt") < 5) & ~F.col("dt").isin(*closed))
+    """Trading days between two dates."""
+    first, last = date.fromisoformat(start), date.fromisoformat(end)
+    if first > last:
+        raise ValueError(f"{start} is after {end}")
+    return _open_days(date_range(spark, start, end), "dt", first.year, last.year)
 
 
 def only_trading_days(df: DataFrame, day: str = "dt") -> DataFrame:
-    """Rows of a table that fall on trading days."""
-    spark = df.sparkSession
-    calendar = trading_days(spark, f"{FIRST_YEAR}-01-01", f"{LAST_YEAR}-12-31")
-    return df.join(calendar.withColumnRenamed("dt", "__dt"), F.col(day) == F.col("__dt"), "left_semi")
+    """Rows of a table that fall on trading days, whatever years it holds.
+
+    The first and the last year are found in one pass over the date column alone."""
+    years = df.agg(F.min(F.year(day)).alias("first"), F.max(F.year(day)).alias("last")).first()
+    if years["first"] is None:
+        return df.where(F.col(day).isNotNull())
+    return _open_days(df, day, max(1, years["first"]), min(9999, years["last"]))

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewright.functions.scalars import utc_date
 from tapewright.operators import greeks as G
 from tapewright.operators import hygiene
-from tapewright.session import fresh_dir
 
 SCHEMA_VERSION = 2
 
@@ -23,10 +23,13 @@ def stamped(batch: DataFrame, completeness: str = "Unknown") -> DataFrame:
 
 def enrich_stream(
     spark: SparkSession, trades: DataFrame, underlying_quotes: DataFrame,
-    curves_at: Callable[[int], DataFrame], staleness_us: int, out: str, dividend: float = 0.0,
+    curves_at: Callable[[int], DataFrame], staleness_us: int, out: str, checkpoint: str,
+    dividend: float = 0.0, trigger: dict | None = None,
 ):
     """Start the sink. Each micro-batch is written under its batch id, so a repeated batch
-    replaces itself. Until there is a curve, rows carry the no-curve flag and no Greeks.
+    replaces itself. A restart with the same ``checkpoint`` goes on with the next batch id;
+    a new checkpoint needs a new ``out``. ``trigger`` holds the arguments of the trigger; by
+    default the query takes what is there and ends. Until there is a curve, rows carry the no-curve flag and no Greeks.
 
     ``curves_at`` gives the curves known at a batch; the newest one is used for all rows.
     """
@@ -36,8 +39,7 @@ def enrich_stream(
         newest = curves.agg(F.max_by("points", "curve_date").alias("points"),
                             F.max("curve_date").alias("curve_date"))
         # The newest curve stands for every day: date it at the first day of the batch.
-        first_day = batch.agg(F.to_date(F.timestamp_micros(F.call_function(
-            "div", F.min("trade_ts_ns"), F.lit(1000)))).alias("first"))
+        first_day = batch.agg(utc_date(F.min("trade_ts_ns")).alias("first"))
         current = newest.where(F.col("points").isNotNull()).crossJoin(first_day).select(
             F.col("first").alias("curve_date"), "points")
         enriched = G.enrich_greeks(batch, underlying_quotes, current, staleness_us, dividend)
@@ -45,6 +47,6 @@ def enrich_stream(
             f"{out}/batch_id={batch_id}")
 
     return (
-        trades.writeStream.foreachBatch(write).trigger(availableNow=True)
-        .option("checkpointLocation", fresh_dir(spark, "enrich-state")).start()
+        trades.writeStream.foreachBatch(write).trigger(**(trigger or {"availableNow": True}))
+        .option("checkpointLocation", checkpoint).start()
     )

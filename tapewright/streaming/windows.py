@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.functions.scalars import ts_from_ns
+from tapewright.functions.scalars import floor_div, ts_from_ns
 from tapewright.operators.windows import parse_window
 from tapewright.session import fresh_dir
 
@@ -41,18 +42,39 @@ def stream_dedup(trades: DataFrame, keys: Sequence[str], ts: str, delay: str) ->
     return with_event_time(trades, ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def run_to_files(spark: SparkSession, stream: DataFrame, label: str):
-    """Run a finite stream to its end into Parquet; returns (result, last progress reports)."""
-    out = fresh_dir(spark, label)
+def run_to_files(spark: SparkSession, stream: DataFrame, label: str, out: str | None = None,
+                 checkpoint: str | None = None):
+    """Run a stream over what has landed, into Parquet; returns (all results so far, the query).
+
+    With ``out`` and ``checkpoint`` of an earlier run the stream goes on where that ended."""
+    out = out or fresh_dir(spark, label)
     query = (
         stream.writeStream.outputMode("append").format("parquet").option("path", out)
-        .option("checkpointLocation", fresh_dir(spark, f"{label}-state"))
+        .option("checkpointLocation", checkpoint or fresh_dir(spark, f"{label}-state"))
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out), query.recentProgress
+    return spark.read.schema(stream.schema).parquet(out), query
+
 
+def run_windows(spark: SparkSession, trades: DataFrame, label: str, delay: str, out: str, checkpoint: str,
+                passed_ms: int = 0, ts: str = "trade_ts_ns"):
+    """One run of ``stream_windows`` over what has landed: (results, late rows, watermark in ms).
 
-def rows_dropped(progress) -> int:
-    """Late rows dropped by the watermark, over all batches and operators."""
-    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
+    ``passed_ms`` is the watermark that the run before returned. Without a rate limit a run
+    reads its input in one batch, so that is the watermark of all its rows: those whose
+    window it has passed are late, counted row by row before anything is aggregated.
+    """
+    length = parse_window(label)
+    window_end = (floor_div(ts, length) + 1) * length
+    late = F.count_if(window_end <= F.lit(passed_ms) * 1_000_000)
+    counted = trades.observe("late", late.alias("rows"))
+    result, query = run_to_files(spark, stream_windows(counted, label, delay, ts=ts), "windows", out, checkpoint)
+    rows, watermark = 0, passed_ms
+    for report in query.recentProgress:   # of this run alone: its batch, and the one that closes windows
+        metrics = (report["observedMetrics"] or {}).get("late")
+        rows += metrics["rows"] or 0 if metrics else 0
+        if "watermark" in report["eventTime"]:
+            moment = datetime.fromisoformat(report["eventTime"]["watermark"].replace("Z", "+00:00"))
+            watermark = max(watermark, round(moment.timestamp() * 1000))
+    return result, rows, watermark
