@@ -76,6 +76,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                  .select(F.col("doc_id").alias("lost_id"), F.col("text_sha256").alias("lost_digest")).distinct(),
                  "copy-losers")
     named = docs.withColumn(digest, F.sha2(normalised(quoted(text)), 256))
-    kept = named.join(lost, named[f"`{digest}`"].eqNullSafe(lost.lost_digest)
+    # Losers grow with the corpus: they are merged in, never broadcast, at any size.
+    kept = named.join(lost.hint("merge"), named[f"`{digest}`"].eqNullSafe(lost.lost_digest)
                       & named[f"`{doc_id}`"].eqNullSafe(lost.lost_id), "left_anti")
     return one_per_key(kept, [doc_id, digest]).drop(digest)
