@@ -33,16 +33,21 @@ class Lookup:
 def asof_join_all(
     trades: DataFrame, lookups: list[Lookup], trade_key: str = "instrument_id",
     trade_ts: str = "trade_ts_ns", trade_seq: str = "seq", slice_ns: int = SLICE_NS,
+    previous: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Attach to each trade the latest row of every lookup at or before it, in one pass.
 
+    ``previous`` adds, per name, the last value that earlier trades of the same key hold.
+
     At equal times looked-up rows come before trades and, among them, the highest ``seq``
     wins. Adds ``<prefix><column>``, ``<prefix>ts_ns`` and ``<prefix>age_us``; all are
     null without a match, or when the match is older than ``max_age_us``.
     """
+    previous = previous or {}
     both = trades.withColumns({
         "__key": F.col(trade_key), "__ts": F.col(trade_ts),
         "__side": F.lit(len(lookups)), "__seq": F.col(trade_seq),
+        **{f"__own_{n}": v for n, v in previous.items()},
     })
     for i, look in enumerate(lookups):
         both = both.unionByName(look.rows.select(
@@ -53,8 +58,9 @@ def asof_join_all(
         ), allowMissingColumns=True)
     carried = carry_forward(
         both, ["__key"], "__ts", ["__ts", "__side", "__seq"],
-        {f"__match{i}": F.col(f"__row{i}") for i in range(len(lookups))},
-        keep=F.col("__side") == len(lookups), slice_ns=slice_ns,
+        {f"__match{i}": F.col(f"__row{i}") for i in range(len(lookups))}
+        | {n: F.col(f"__own_{n}") for n in previous},
+        keep=F.col("__side") == len(lookups), slice_ns=slice_ns, earlier_only=set(previous),
     )
     added = {}
     for i, look in enumerate(lookups):
@@ -66,7 +72,7 @@ def asof_join_all(
         added |= {f"{look.prefix}{c}": F.when(fresh, match[c]) for c in look.columns}
         added[f"{look.prefix}ts_ns"] = F.when(fresh, match["ts_ns"])
         added[f"{look.prefix}age_us"] = F.when(fresh, F.greatest(age, F.lit(0).cast("bigint")))
-    return carried.withColumns(added).select(*trades.columns, *added)
+    return carried.withColumns(added).select(*trades.columns, *previous, *added)
 
 
 def asof_join(
@@ -94,10 +100,15 @@ def asof_underlying(
 
     The limit has one microsecond of slack, except that a limit of 0 means 0.
     """
-    limit = staleness_us + 1 if staleness_us > 0 else 0
     joined = asof_join(option_trades, underlying_quotes, trade_key="underlying",
                        slice_ns=slice_ns)
-    return joined.withColumn(
+    return mark_stale(joined, staleness_us)
+
+
+def mark_stale(quoted: DataFrame, staleness_us: int) -> DataFrame:
+    """Add ``nbbo_stale`` from ``nbbo_age_us``."""
+    limit = staleness_us + 1 if staleness_us > 0 else 0
+    return quoted.withColumn(
         "nbbo_stale",
         F.coalesce(F.col("nbbo_age_us") > F.lit(limit).cast("bigint"), F.lit(False)),
     )
@@ -127,15 +138,23 @@ def resolve_underlying_price(
 
     A price that is not finite and positive leaves the trade out.
     """
-    priced = asof_join_all(option_trades, [
-        Lookup(underlying_quotes, ("bid", "ask"), "__u_", max_age_us=max_age_us),
-        Lookup(underlying_trades, ("price",), "__t_", ts="trade_ts_ns"),
-    ], trade_key="underlying").withColumn(
+    priced = asof_join_all(option_trades, price_lookups(underlying_quotes, underlying_trades, max_age_us),
+                           trade_key="underlying")
+    return with_underlying_price(priced, drop_unpriced).select(*option_trades.columns, "underlying_price")
+
+
+def price_lookups(underlying_quotes: DataFrame, underlying_trades: DataFrame, max_age_us: int) -> list[Lookup]:
+    """What ``with_underlying_price`` needs, to share a pass with other lookups."""
+    return [Lookup(underlying_quotes, ("bid", "ask"), "__u_", max_age_us=max_age_us),
+            Lookup(underlying_trades, ("price",), "__t_", ts="trade_ts_ns")]
+
+
+def with_underlying_price(looked_up: DataFrame, drop_unpriced: bool = True) -> DataFrame:
+    priced = looked_up.withColumn(
         "underlying_price", F.coalesce(live_mid("__u_bid", "__u_ask"), F.col("__t_price")))
-    priced = priced.select(*option_trades.columns, "underlying_price")
     if drop_unpriced:
         priced = priced.where(is_finite("underlying_price") & (F.col("underlying_price") > 0))
-    return priced
+    return priced.drop(*[f"__{p}_{c}" for p in "ut" for c in ("bid", "ask", "price", "ts_ns", "age_us")])
 
 
 def prune_horizon(df: DataFrame, key: str, ts: str, horizon_ns: int) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.functions.scalars import classifier_mid, is_actionable, offset_bp
-from tapewright.operators.asof import asof_join, prev_price
-from tapewright.operators.ordered import carry_forward
+from tapewright.operators.asof import Lookup, asof_join, asof_join_all
+from tapewright.operators.ordered import carry_forward, landed
 
 MIN_EPSILON = 1e-6
 TOUCH_CONFIDENCE, INSIDE_CONFIDENCE, TICK_CONFIDENCE = 1.0, 0.7, 0.5
@@ -118,12 +118,15 @@ def alignment_eligible(cols: TradeColumns, mid: str):
 
 def delta_alignment(df: DataFrame, underlying_quotes: DataFrame, params: ClassifyParams,
                     cols: TradeColumns) -> DataFrame:
-    """Confirm or reject tick-rule options by the move of the underlying."""
+    """Confirm or reject tick-rule options by the move of the underlying.
+
+    Three look-backs depend on one another here; each starts from the written result of the
+    one before, so nothing below is run again."""
     joined = asof_join(
-        df, underlying_quotes, trade_key=cols.underlying, trade_ts=cols.ts, trade_seq=cols.seq,
+        landed(df, "ticked"), underlying_quotes, trade_key=cols.underlying, trade_ts=cols.ts, trade_seq=cols.seq,
         columns=("bid", "ask"), prefix="__u_", max_age_us=params.staleness_us,
     ).withColumn("__mid", classifier_mid("__u_bid", "__u_ask"))
-    moved = prev_underlying_mid(joined, cols, alignment_eligible(cols, "__mid"), "__mid",
+    moved = prev_underlying_mid(landed(joined, "underlying-mids"), cols, alignment_eligible(cols, "__mid"), "__mid",
                                 "__prev_mid")
     d_s = F.col("__mid") - F.col("__prev_mid")
     change = F.col(cols.price) - F.col("prev_price")
@@ -137,14 +140,20 @@ def delta_alignment(df: DataFrame, underlying_quotes: DataFrame, params: Classif
     ).drop("__u_bid", "__u_ask", "__u_ts_ns", "__u_age_us", "__mid", "__prev_mid")
 
 
+def quoted_with_previous(trades: DataFrame, quotes: DataFrame, params: ClassifyParams,
+                         cols: TradeColumns = TradeColumns()) -> DataFrame:
+    """The quote before each trade and the previous price, of one instrument and so in one pass."""
+    look = Lookup(quotes, max_age_us=params.staleness_us)
+    return asof_join_all(trades, [look], cols.instrument, cols.ts, cols.seq,
+                         previous={"prev_price": F.col(cols.price)})
+
+
 def classify(
     trades: DataFrame, quotes: DataFrame, params: ClassifyParams = ClassifyParams(),
     cols: TradeColumns = TradeColumns(), underlying_quotes: DataFrame | None = None,
 ) -> DataFrame:
     """Full classification; adds the ``nbbo_*`` snapshot and the ``aggressor_*`` columns."""
-    ticked = prev_price(trades, cols.instrument, cols.ts, cols.seq, cols.price)
-    joined = asof_join(ticked, quotes, trade_key=cols.instrument, trade_ts=cols.ts,
-                       trade_seq=cols.seq, max_age_us=params.staleness_us)
+    joined = quoted_with_previous(trades, quotes, params, cols)
     out = tick_rule(quote_rule(joined, params, cols.price), params, cols.price)
     if cols.delta is not None and underlying_quotes is not None and params.use_tick_rule_fallback:
         out = delta_alignment(out, underlying_quotes, params, cols)

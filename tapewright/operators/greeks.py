@@ -260,6 +260,12 @@ def enrich_greeks(
     With ``vol`` all rows use that volatility instead of solving for one.
     """
     quoted = asof_underlying(option_trades, underlying_quotes, staleness_us, slice_ns)
+    return enrich_quoted(quoted, curves, dividend, iv, vol)
+
+
+def enrich_quoted(quoted: DataFrame, curves: DataFrame, dividend: float = 0.0, iv: str | None = None,
+                  vol: Column | None = None) -> DataFrame:
+    """The enrichment from an attached underlying quote on."""
     inputs = pricing_inputs(quoted, curves)
     return with_known_vol(inputs, vol, dividend) if vol is not None \
         else with_greeks(inputs, dividend, iv)

@@ -10,12 +10,13 @@ span divided by the slice length, whatever the number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.scalars import NANOS, floor_div
+from tapewright.session import fresh_dir
 
 # One hour: a symbol with 10^11 rows a month spreads over 720 tasks, and ten years of
 # slices are under 90 000 summary rows per key.
@@ -31,43 +32,49 @@ def carry_forward(
     include_current: bool = True,
     keep: Column | None = None,
     slice_ns: int = SLICE_NS,
+    earlier_only: Collection[str] = (),
 ) -> DataFrame:
     """Add, per name, the last non-null value at or before each row of its key.
 
-    ``order`` must start with ``ts`` and be total. ``include_current=False`` looks at
-    earlier rows only. ``keep`` drops rows after the look-back (quotes, say). ``df`` is
-    read by three branches, so values that come from joins are best added afterwards.
+    ``order`` must start with ``ts`` and be total. ``include_current=False``, or for single
+    names ``earlier_only``, looks at earlier rows only. ``keep`` drops rows after the
+    look-back (quotes, say). ``df`` is read twice, once for the rows and once for the slice
+    summary: look-backs with one key belong in one call, and a look-back that needs the
+    result of another should read it from a table (``landed``).
     """
     names = list(values)
     based = df.withColumns({"__slice": floor_div(ts, slice_ns)} | {
         f"__v_{n}": v for n, v in values.items()})
-    end = 0 if include_current else -1
-    within = (
-        Window.partitionBy(*keys, "__slice").orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, end)
-    )
+
+    def within(name):
+        end = 0 if include_current and name not in earlier_only else -1
+        return (Window.partitionBy(*keys, "__slice").orderBy(*order)
+                .rowsBetween(Window.unboundedPreceding, end))
+
     near = based.withColumns({
-        f"__near_{n}": F.last(f"__v_{n}", ignorenulls=True).over(within) for n in names})
+        f"__near_{n}": F.last(f"__v_{n}", ignorenulls=True).over(within(n)) for n in names})
     if keep is not None:
         near = near.where(keep)
 
-    # Only rows with a value are sorted into tails; which slices exist is a plain distinct.
-    has_value = F.lit(False)
-    for n in names:
-        has_value = has_value | F.col(f"__v_{n}").isNotNull()
-    tails = based.where(has_value).groupBy(*keys, "__slice").agg(*[
+    # One row per key and slice, combined in the tasks first; an empty slice has null tails.
+    summary = based.groupBy(*keys, "__slice").agg(*[
         F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.struct(*order)))
         .alias(f"__tail_{n}") for n in names])
-    present = based.select(*keys, "__slice").distinct()
     before = (
-        Window.partitionBy(*keys).orderBy("__slice").rangeBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     )
-    summary = tails.withColumn("__present", F.lit(False)).unionByName(
-        present.withColumn("__present", F.lit(True)), allowMissingColumns=True)
-    carry = summary.withColumns({
-        f"__carry_{n}": F.last(f"__tail_{n}", ignorenulls=True).over(before) for n in names
-    }).where("__present").select(*keys, "__slice", *[f"__carry_{n}" for n in names])
+    carry = summary.select(*keys, "__slice", *[
+        F.last(f"__tail_{n}", ignorenulls=True).over(before).alias(f"__carry_{n}") for n in names])
     out = near.join(carry, [*keys, "__slice"], "left").withColumns({
         n: F.coalesce(f"__near_{n}", f"__carry_{n}") for n in names})
     scratch = [f"__{part}_{n}" for part in ("v", "near", "carry") for n in names]
     return out.drop("__slice", *scratch)
+
+
+def landed(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared work folder and read back: the end of one pass, and the
+    start of the next that depends on it."""
+    spark = df.sparkSession
+    path = fresh_dir(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -35,12 +35,14 @@ def labelled_options(spark, d):
 
 
 def enriched_options(spark, d, vol=None):
-    """Labelled, priced option trades with Greeks, keyed by symbol."""
-    priced = asof.resolve_underlying_price(
-        labelled_options(spark, d), V.underlying_quotes(spark, d), V.underlying_trades(spark, d),
-        QT.OPTION_STALE_US)
-    e = G.enrich_greeks(priced, QO.rough_quotes(spark, d), QO.curves(spark, d), QO.STALE_US,
-                        QO.DIVIDEND, vol=vol)
+    """Labelled, priced option trades with Greeks, keyed by symbol. Quotes for the price, trades
+    and quotes for the Greeks are looked up in one pass, as all belong to the underlying."""
+    lookups = asof.price_lookups(V.underlying_quotes(spark, d), V.underlying_trades(spark, d),
+                                 QT.OPTION_STALE_US)
+    looked_up = asof.asof_join_all(
+        labelled_options(spark, d), [*lookups, asof.Lookup(QO.rough_quotes(spark, d))], trade_key="underlying")
+    quoted = asof.mark_stale(asof.with_underlying_price(looked_up), QO.STALE_US)
+    e = G.enrich_quoted(quoted, QO.curves(spark, d), QO.DIVIDEND, vol=vol)
     return e.withColumnRenamed("underlying", "symbol")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import scalars as S
 from tapewright.operators import asof, classify as C
+from tapewright.operators.ordered import landed
 from tapewright.operators.windows import assign_windows
 from tapewright.plans import views as V
 from tapewright.plans.registry import query
@@ -201,8 +202,7 @@ def classify_quote_rule(spark, d):
   select seq, prev_price, aggressor_side, class_method, aggressor_confidence from classified
   where class_method in ('TickRule', 'Unknown')"""))
 def classify_tick_rule(spark, d):
-    joined = asof.asof_join(asof.prev_price(V.trades(spark, d)), state_quotes(spark, d),
-                            max_age_us=STALE_US)
+    joined = C.quoted_with_previous(V.trades(spark, d), state_quotes(spark, d), PARAMS)
     ruled = C.quote_rule(joined, PARAMS)
     return C.tick_rule(ruled, PARAMS).where(
         F.col("class_method").isin("TickRule", "Unknown")
@@ -265,11 +265,11 @@ V.define_view("eligible", ("ticked_options",), """
   select seq, trade_ts_ns, contract, mid, prev_underlying_mid from eligible"""))
 def prev_underlying_mid(spark, d):
     joined = asof.asof_join(
-        _aligned_input(spark, d), V.underlying_quotes(spark, d), trade_key="underlying",
+        landed(_aligned_input(spark, d), "ticked"), V.underlying_quotes(spark, d), trade_key="underlying",
         columns=("bid", "ask"), prefix="u_", max_age_us=OPTION_STALE_US,
     ).withColumn("mid", S.classifier_mid("u_bid", "u_ask"))
     eligible = C.alignment_eligible(OPTION_COLUMNS, "mid")
-    return C.prev_underlying_mid(joined, OPTION_COLUMNS, eligible, "mid").where(eligible).select(
+    return C.prev_underlying_mid(landed(joined, "mids"), OPTION_COLUMNS, eligible, "mid").where(eligible).select(
         "seq", "trade_ts_ns", "contract", "mid", "prev_underlying_mid")
 
 
