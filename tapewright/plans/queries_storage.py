@@ -125,8 +125,7 @@ def scan_quotes(spark, d):
     ]
     short = _land_csv(spark, q.where(e % 2 == 1).select(*base), "quotes-short")
     long = _land_csv(spark, q.where(e % 2 == 0).select(*base, *extra), "quotes-long")
-    both = flatfiles.quotes(flatfiles.read_csv(spark, short)).unionByName(
-        flatfiles.quotes(flatfiles.read_csv(spark, long)))
+    both = flatfiles.quotes(flatfiles.read_csv(spark, [short, long]))
     return both.select("instrument_id", "quote_ts_ns", "bid", "ask", "bid_sz", "ask_sz", "state",
                        "condition", "best_bid_venue", "best_ask_venue")
 

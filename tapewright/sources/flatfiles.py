@@ -13,12 +13,36 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import scalars as S
 
+KEY_COLUMN = "ticker"   # the first column of every layout
+
+
+def _headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Header line -> the files that begin with it.
+
+    A header is the only line of a file that starts with the name of a column, so it is found
+    by a text filter; what reaches the driver is one line and one name per file."""
+    lines = spark.read.text(paths).where(F.lower(F.trim("value")).startswith(KEY_COLUMN + ","))
+    found: dict[str, list[str]] = {}
+    for row in lines.select("value", F.col("_metadata.file_path").alias("path")).distinct().collect():
+        found.setdefault(row["value"], []).append(row["path"])
+    return found
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """All columns as text, named by the header, plus the file each row came from."""
-    raw = spark.read.option("header", True).csv(list(paths) if not isinstance(paths, str) else paths)
-    return raw.withColumn("__path", F.col("_metadata.file_path"))
+    """All columns as text, named by the header, plus the file each row came from.
+
+    One CSV scan binds all its files by the header of one of them. Files are therefore
+    grouped by header, each group is scanned by itself, and the groups are united by name;
+    columns that a layout lacks are null."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    groups = _headers(spark, paths)
+    layouts = list(groups.values()) if len(groups) > 1 else [paths]
+    parts = [spark.read.option("header", True).csv(files).withColumn("__path", F.col("_metadata.file_path"))
+             for files in layouts]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def _text(df: DataFrame, name: str) -> Column:
