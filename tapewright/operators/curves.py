@@ -59,17 +59,24 @@ def with_curve_rate(df: DataFrame, points: str = "points", tau: str = "tau") ->
     return df.drop("__target", "__below", "__low", "__high", "__ld0", "__ld1", "__w")
 
 
+# Days that a time in nanoseconds can fall on.
+FIRST_DAY, LAST_DAY = "1677-09-21", "2262-04-11"
+
+
 def curve_calendar(curves: DataFrame) -> DataFrame:
     """``dt, curve_date, points`` for every calendar day from the first to the last curve.
 
-    A day without its own curve has the latest earlier one. Nanosecond times span 584
-    years, so this is at most some 200 000 rows: small enough for one ordered window and
-    for a broadcast.
+    A day without its own curve has the latest earlier one. Only days that a nanosecond time
+    can fall on are listed, whatever dates the curves carry: at most 213 504 rows, small
+    enough for one ordered window and for a broadcast.
     """
     following = F.lead("curve_date").over(Window.orderBy("curve_date"))
     until = F.coalesce(F.date_sub(following, 1), F.col("curve_date"))
-    return curves.withColumn("__until", until).select(
-        F.explode(F.sequence("curve_date", "__until")).alias("dt"), "curve_date", "points")
+    first, last = F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date")
+    ranged = curves.withColumns({"__until": F.least(until, last)}).withColumn(
+        "__from", F.greatest("curve_date", first)).where("__from <= __until")
+    return ranged.select(
+        F.explode(F.sequence("__from", "__until")).alias("dt"), "curve_date", "points")
 
 
 def with_day_curve(df: DataFrame, curves: DataFrame, day: str = "dt") -> DataFrame:

@@ -22,6 +22,8 @@ from tapewright.session import fresh_dir
 
 # Distinct values one task handles at a time.
 SLICE_POINTS = 200_000
+# Points of a simulated sample drawn at a time.
+SAMPLE_POINTS = 100_000
 
 # Sizes at which the null distribution is tabulated, and its levels (fixed values).
 TABLE_SIZES = (4, 5, 6, 7, 8, 9, 10, 15, 20, 30, 50, 100, 200, 500, 1000, 2000, 5000, 10000,
@@ -229,6 +231,46 @@ def dip_statistic(values: DataFrame, keys: Sequence[str], x: str, allow_zero: bo
 
 
 # --------------------------------------------------------------- null distribution
+def _uniform_slice(bounds: np.ndarray, sizes: np.ndarray, seed: tuple, k: int) -> np.ndarray:
+    """Slice k of a sorted uniform sample. Its last point is its upper bound; given that, the
+    others are independent and uniform between the bounds."""
+    inner = np.random.default_rng((*seed, k)).random(sizes[k] - 1)
+    inner.sort()
+    low, high = bounds[k], bounds[k + 1]
+    return np.append(low + inner * (high - low), high)
+
+
+def dip_of_uniform(n: int, seed: tuple, allow_zero: bool = True, slice_points: int = SAMPLE_POINTS) -> float:
+    """Dip of a seeded uniform sample of n points, never holding more than some slices of it.
+
+    The bounds of the slices come from sums of exponential spacings, which are gamma
+    distributed. Slices are reduced to skeletons; those that the result rests on are drawn
+    again, whole, as in ``dip_statistic``."""
+    if n <= slice_points:
+        return dip_of(np.random.default_rng(seed).random(n), allow_zero)
+    n_slices = -(-n // slice_points)
+    sizes = np.full(n_slices, slice_points)
+    sizes[-1] = n - slice_points * (n_slices - 1)
+    spans = np.random.default_rng(seed).gamma(np.append(sizes, 1))   # the last gap lies above all points
+    bounds = np.concatenate(([0.0], np.cumsum(spans) / spans.sum()))
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    parts: list = [None] * n_slices
+    whole: set[int] = set()
+    needed = set(range(n_slices))
+    while needed:
+        for k in needed:
+            v, c = np.unique(_uniform_slice(bounds, sizes, seed, k), return_counts=True)
+            before, after = _limits(int(starts[k]), c)
+            rows = np.arange(len(v)) if k in whole else skeleton(v, before, after)
+            parts[k] = (v[rows], before[rows], after[rows])
+        v, before, after = (np.concatenate([p[j] for p in parts]) for j in range(3))
+        owner = np.repeat(np.arange(n_slices), [len(p[0]) for p in parts])
+        found = dip_of_limits(v, before, after, allow_zero)
+        needed = {int(owner[i]) for i in found["trail"]} - whole
+        whole |= needed
+    return found["dip"]
+
+
 def simulate_null(sizes: DataFrame, draws: int, seed: int, allow_zero: bool = True) -> DataFrame:
     """Dips of ``draws`` uniform samples per sample size: ``n, draw, dip``.
 
@@ -241,24 +283,16 @@ def simulate_null(sizes: DataFrame, draws: int, seed: int, allow_zero: bool = Tr
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            dips = [
-                dip_of(np.random.default_rng((seed, n, i)).random(n), allow_zero)
-                for n, i in zip(batch["n"], batch["draw"])
-            ]
+            dips = [dip_of_uniform(int(n), (seed, int(n), int(i)), allow_zero)
+                    for n, i in zip(batch["n"], batch["draw"])]
             yield batch.assign(dip=dips)
 
     return spread.mapInPandas(sample, "n bigint, draw int, dip double")
 
 
 def bootstrap_pvalues(dips: DataFrame, keys: Sequence[str], draws: int, seed: int) -> DataFrame:
-    """Share of uniform samples of the same size with a dip at least as large.
-
-    Sizes above the table's limit are compared at the limit after scaling by the root of
-    the size, as in the table.
-    """
-    limit = F.lit(MAX_TABLE_SIZE).cast("bigint")
-    sized = dips.withColumn("__n", F.least("n", limit)).withColumn(
-        "__scaled", F.col("dip") * F.sqrt(F.col("n") / F.col("__n")))
+    """Share of uniform samples of the same size with a dip at least as large, at any size."""
+    sized = dips.withColumn("__n", F.col("n").cast("bigint")).withColumn("__scaled", F.col("dip"))
     tested = sized.where((F.col("n") > 3) & F.lit(draws > 0))
     null = simulate_null(tested.select(F.col("__n").alias("n")).distinct(), draws, seed)
     # Draws of one size, sorted: a group then needs one binary count instead of all pairs.

@@ -21,7 +21,7 @@ from tapewright.plans.registry import query
 MONTH = "720h"
 MONTH_NS = 720 * 3600 * 10**9
 KEYS = X.KEYS
-DRAWS = 200  # enough for two digits; the full test takes as many as asked
+DRAWS = 2_000
 
 
 def labelled_options(spark, d):

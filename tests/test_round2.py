@@ -96,3 +96,40 @@ def test_classify_parameters_without_fallback(spark, sf_dir):
     params = classify.ClassifyParams(use_tick_rule_fallback=False)
     out = classify.classify(V.trades(spark, sf_dir), QT.state_quotes(spark, sf_dir), params)
     assert out.where("class_method = 'TickRule'").count() == 0
+
+
+def test_bootstrap_sample_in_slices():
+    import numpy as np
+
+    from tapewright.operators import dip as D
+
+    n, size, seed = 5003, 500, (7, 5003, 1)
+    sizes = np.full(11, size)
+    sizes[-1] = 3
+    spans = np.random.default_rng(seed).gamma(np.append(sizes, 1))
+    bounds = np.concatenate(([0.0], np.cumsum(spans) / spans.sum()))
+    sample = np.concatenate([D._uniform_slice(bounds, sizes, seed, k) for k in range(11)])
+    assert len(sample) == n and (np.diff(sample) > 0).all() and 0 < sample[0] and sample[-1] < 1
+    assert D.dip_of_uniform(n, seed, True, size) == D.dip_of(sample, True)
+    in_slices = [D.dip_of_uniform(2000, (1, 2000, i), True, 100) for i in range(200)]
+    at_once = [D.dip_of_uniform(2000, (2, 2000, i)) for i in range(200)]
+    assert np.mean(in_slices) == pytest.approx(np.mean(at_once), rel=0.08)
+
+
+def test_bootstrap_at_its_own_size(spark):
+    from tapewright.operators import dip as D
+
+    dips = spark.createDataFrame([("a", 80_000, 0.05), ("b", 80_000, 1e-5), ("c", 3, 0.1)], "k string, n long, dip double")
+    got = {r.k: r.p_value for r in D.bootstrap_pvalues(dips, ["k"], 20, seed=3).collect()}
+    assert got == {"a": 0.0, "b": 1.0, "c": 1.0}
+
+
+def test_curves_dated_far_off_stay_bounded(spark):
+    from tapewright.operators import curves as K
+
+    rows = [("0001-01-01", 1.0), ("2020-01-02", 2.0), ("9999-12-31", 3.0)]
+    curves = spark.createDataFrame([(date.fromisoformat(d), [r]) for d, r in rows], "curve_date date, points array<double>")
+    assert K.curve_calendar(curves).count() <= 213_504
+    days = spark.createDataFrame([(date(2019, 5, 1),), (date(2020, 1, 2),), (date(2100, 1, 1),)], "dt date")
+    got = {str(r.dt): r.points[0] for r in K.with_day_curve(days, curves).collect()}
+    assert got == {"2019-05-01": 1.0, "2020-01-02": 2.0, "2100-01-01": 2.0}
