@@ -146,15 +146,16 @@ def contract_strike(contract) -> Column:
     return F.when(_well_formed(c), F.coalesce(value, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
-def contract_expiry_ns(contract, hint=None) -> Column:
-    """Midnight UTC of the expiry date; a malformed contract or date gives the hint (or 0)."""
+def contract_expiry_ns(contract, hint=None, cutoff_ns: int = 0) -> Column:
+    """``cutoff_ns`` after midnight UTC of the expiry date; a malformed contract or date gives
+    the hint (or 0). At the default of midnight an option of the same day counts as expired."""
     c = _c(contract)
     fallback = F.coalesce(_c(hint), F.lit(0)).cast("bigint") if hint is not None \
         else F.lit(0).cast("bigint")
     text = F.concat(F.lit("20"), _from_right(c, 15, 2), F.lit("-"), _from_right(c, 13, 2),
                     F.lit("-"), _from_right(c, 11, 2))
     day = F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), text.try_cast("date"))
-    ns = F.unix_date(day).cast("bigint") * F.lit(DAY_NS)
+    ns = F.unix_date(day).cast("bigint") * F.lit(DAY_NS) + F.lit(cutoff_ns).cast("bigint")
     return F.when(_well_formed(c), F.coalesce(ns, fallback)).otherwise(fallback)
 
 
@@ -164,12 +165,12 @@ def contract_underlying(contract) -> Column:
     return F.when(_well_formed(c), root).otherwise(F.lit(""))
 
 
-def parse_contract(df, contract: str = "contract", hint: str | None = None):
+def parse_contract(df, contract: str = "contract", hint: str | None = None, cutoff_ns: int = 0):
     """Add direction, strike, expiry and underlying columns parsed from the contract text."""
     return df.withColumns({
         "contract_direction": contract_direction(contract),
         "strike_price": contract_strike(contract),
-        "expiry_ts_ns": contract_expiry_ns(contract, hint),
+        "expiry_ts_ns": contract_expiry_ns(contract, hint, cutoff_ns),
         "underlying": contract_underlying(contract),
     })
 

@@ -19,19 +19,23 @@ CHAIN_PAGE = ("next_url string, results array<struct<open_interest:double,"
 
 
 def read_yield_pages(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Curve points ``curve_date, tenor_years, rate``.
+    """Curve points ``curve_date, tenor_years, rate, position``.
 
-    Missing tenors drop out, and so do records whose date does not parse.
+    Missing tenors drop out, and so do records whose date does not parse. ``position`` orders
+    records that repeat a date: by page, then by place in it.
     """
     pages = spark.read.schema(YIELD_PAGE).json(path, multiLine=multi_line)
-    records = pages.select(F.inline("results"))
+    placed = pages.select(F.col("_metadata.file_path").alias("page"), F.monotonically_increasing_id().alias("line"),
+                          F.posexplode("results").alias("place", "r"))
+    records = placed.select("r.*", F.struct("page", "line", "place").alias("position"))
     tenors = F.array(*[
         F.struct(F.lit(t).alias("tenor_years"), (F.col(name) / 100.0).alias("rate"))
         for name, t in YIELD_FIELDS
     ])
     return (
-        records.select(F.col("date").try_cast("date").alias("curve_date"), F.inline(tenors))
+        records.select(F.col("date").try_cast("date").alias("curve_date"), "position", F.inline(tenors))
         .where(F.col("curve_date").isNotNull() & F.col("rate").isNotNull())
+        .select("curve_date", "tenor_years", "rate", "position")
     )
 
 

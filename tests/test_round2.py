@@ -133,3 +133,25 @@ def test_curves_dated_far_off_stay_bounded(spark):
     days = spark.createDataFrame([(date(2019, 5, 1),), (date(2020, 1, 2),), (date(2100, 1, 1),)], "dt date")
     got = {str(r.dt): r.points[0] for r in K.with_day_curve(days, curves).collect()}
     assert got == {"2019-05-01": 1.0, "2020-01-02": 2.0, "2100-01-01": 2.0}
+
+
+def test_first_record_of_a_date_wins(spark, tmp_path):
+    from tapewright.operators import curves as K
+    from tapewright.sources import landed
+
+    page = '{"results":[{"date":"2024-01-02","yield_1_year":5.0},{"date":"2024-01-02","yield_1_year":4.0,"yield_2_year":3.0}]}'
+    (tmp_path / "a.json").write_text(page + "\n")
+    points = landed.read_yield_pages(spark, str(tmp_path), multi_line=False)
+    first = K.build_curves(points, position="position").first().points
+    lowest = K.build_curves(points).first().points
+    assert [(p.tenor, p.rate) for p in first] == [(1.0, 0.05), (2.0, 0.03)]
+    assert [(p.tenor, p.rate) for p in lowest] == [(1.0, 0.04), (2.0, 0.03)]
+
+
+def test_expiry_cutoff(spark):
+    from tapewright.functions import scalars as S
+
+    df = spark.createDataFrame([("O:SPY230327P00390000",), ("x",)], "contract string")
+    close = 20 * 3_600 * 10**9
+    got = [r.e for r in df.select(S.contract_expiry_ns("contract", cutoff_ns=close).alias("e")).collect()]
+    assert got == [(date(2023, 3, 27) - date(1970, 1, 1)).days * 86_400 * 10**9 + close, 0]
