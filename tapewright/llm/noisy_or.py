@@ -20,6 +20,7 @@ columns may have any name.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -75,19 +76,23 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Model(leak=float(y.mean()) if len(y) else 0.0, bias=NEVER)
-    bags = [[sentence_words(t, a, b) for a, b in sentences(t)] for t in texts]
-    seen = Counter(w for bag in bags for w in set().union(*bag))
+    # Two passes over the texts: nothing but counts and flat arrays is held, so memory is that
+    # of the sample's distinct words.
+    seen: Counter = Counter()
+    for t in texts:
+        seen.update(set().union(*(sentence_words(t, a, b) for a, b in sentences(t))))
     names = sorted(w for w, n in seen.items() if n >= MIN_DOCS)
+    del seen
     index = {w: i for i, w in enumerate(names)}
-    doc, row, col, n_rows = [], [], [], 0
-    for d, bag in enumerate(bags):
-        for words in bag:
-            cols = [index[w] for w in words if w in index]
+    doc, row, col = array("i"), array("i"), array("i")
+    for d, t in enumerate(texts):
+        for a, b in sentences(t):
+            cols = sorted(index[w] for w in sentence_words(t, a, b) if w in index)
+            row.extend([len(doc)] * len(cols))
+            col.extend(cols)
             doc.append(d)
-            row.extend([n_rows] * len(cols))
-            col.extend(sorted(cols))
-            n_rows += 1
-    doc, row, col = np.array(doc, int), np.array(row, int), np.array(col, int)
+    n_rows = len(doc)
+    doc, row, col = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (doc, row, col))
     w = np.zeros(len(names) + 2)       # words, bias, leak
     w[-2], w[-1] = START_BIAS, np.log(y.mean() / (1 - y.mean()))
     first, second = np.zeros_like(w), np.zeros_like(w)
