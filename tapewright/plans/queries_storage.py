@@ -515,11 +515,16 @@ def run_log(spark, d):
     case when size % 2 = 0 then aggressor_confidence end as aggressor_confidence,
     case when size % 2 = 0 then 'Final' else 'Prelim' end as quality from classified"""))
 def finalize_trades(spark, d):
+    """Stored trades, finalised in place; the second, equal update changes nothing."""
     base = V.trades(spark, d).withColumn("trade_uid", F.col("seq")).withColumns(
-        {**flatfiles.unclassified(), "quality": F.lit("Prelim")})
+        {**flatfiles.unclassified(), "quality": F.lit("Prelim"), "dt": S.utc_date("trade_ts_ns")})
     delta = QT._classified(spark, d).where(F.col("size") % 2 == 0).withColumn("trade_uid", F.col("seq"))
-    return T.finalize_trades(base, delta).select("trade_uid", "aggressor_side", "class_method",
-                                                 "aggressor_confidence", "quality")
+    path = f"{fresh_dir(spark, 'store')}/equity_trades"
+    T.write_partitioned(base, path, ["dt"])
+    for _ in range(2):
+        T.finalize_table(spark, path, ["dt"], delta)
+    return spark.read.parquet(path).select("trade_uid", "aggressor_side", "class_method",
+                                           "aggressor_confidence", "quality")
 
 
 @query("trades_with_greeks", sql=V.with_views("overlaid", """

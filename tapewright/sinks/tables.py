@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapewright import schemas
 from tapewright.functions import scalars as S
-from tapewright.operators import hygiene
+from tapewright.operators import hygiene, ordered
 
 REASON_CHARS = 256
 ROWS_PER_FILE = 5_000_000
@@ -152,3 +152,15 @@ def finalize_trades(trades: DataFrame, delta: DataFrame) -> DataFrame:
     updated = {c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in FINAL_COLUMNS}
     quality = F.when(F.col("__hit"), F.lit("Final")).otherwise(F.col("quality"))
     return joined.withColumns({**updated, "quality": quality}).select(*trades.columns)
+
+
+def finalize_table(spark: SparkSession, path: str, partitions: list[str], delta: DataFrame) -> None:
+    """Apply classification updates to a stored table, rewriting only partitions they touch.
+
+    The new partitions are written to the work folder first, because a table cannot be
+    overwritten while it is read; applying the same updates again changes nothing.
+    """
+    stored = spark.read.parquet(path)
+    touched = stored.join(delta.select("trade_uid"), "trade_uid", "left_semi").select(*partitions).distinct()
+    affected = stored.join(ordered.landed(touched, "finalize-partitions"), partitions, "left_semi")
+    write_partitioned(ordered.landed(finalize_trades(affected, delta), "finalize"), path, partitions, mode="overwrite")

@@ -155,3 +155,19 @@ def test_expiry_cutoff(spark):
     close = 20 * 3_600 * 10**9
     got = [r.e for r in df.select(S.contract_expiry_ns("contract", cutoff_ns=close).alias("e")).collect()]
     assert got == [(date(2023, 3, 27) - date(1970, 1, 1)).days * 86_400 * 10**9 + close, 0]
+
+
+def test_finalize_rewrites_touched_partitions_only(spark, tmp_path):
+    from pathlib import Path
+
+    base = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "trade_uid long, dt string").withColumns(
+        {**flatfiles.unclassified(), "quality": F.lit("Prelim")})
+    path = str(tmp_path / "t")
+    tables.write_partitioned(base, path, ["dt"])
+    untouched = sorted(p.name for p in Path(path, "dt=b").glob("*.parquet"))
+    delta = base.where("trade_uid = 2").withColumns({"aggressor_side": F.lit("Buyer"), "class_method": F.lit("TickRule")})
+    for _ in range(2):
+        tables.finalize_table(spark, path, ["dt"], delta)
+        got = sorted((r.trade_uid, r.dt, r.aggressor_side, r.quality) for r in spark.read.parquet(path).collect())
+        assert got == [(1, "a", "Unknown", "Prelim"), (2, "a", "Buyer", "Final"), (3, "b", "Unknown", "Prelim")]
+    assert sorted(p.name for p in Path(path, "dt=b").glob("*.parquet")) == untouched
