@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapewright.llm.common import quoted
@@ -130,9 +131,9 @@ class _Packer:
 def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text",
          capacity: int = LENGTH, end: int = END) -> DataFrame:
     """Pieces of every document with their place: COLUMNS, ids as little-endian bytes."""
-    id_type = docs.schema[doc_id].dataType
-    long = T.LongType()
-    schema = T.StructType([T.StructField("doc_id", id_type), *[T.StructField(c, long) for c in COLUMNS[1:-1]],
+    # Ids travel as text: pandas would turn whole numbers beside a null into doubles.
+    schema = T.StructType([T.StructField("doc_id", T.StringType()),
+                           *[T.StructField(c, T.LongType()) for c in COLUMNS[1:-1]],
                            T.StructField("ids", T.BinaryType())])
     tail = np.array([end], "<u4").tobytes()
 
@@ -159,4 +160,5 @@ def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "
         if packer.rows:
             yield flush()
 
-    return docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text")).mapInPandas(run, schema)
+    packed = docs.select(quoted(doc_id).cast("string").alias("doc_id"), quoted(text).alias("text")).mapInPandas(run, schema)
+    return packed.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))

@@ -155,6 +155,7 @@ def offending(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
                         found.append((key, a, b, t[a:b].strip(), float(p)))
             yield pd.DataFrame(found, columns=["doc_id", "begin", "finish", "sentence", "p"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(quoted(doc_id), quoted(text)).mapInPandas(
-        run, f"doc_id {kind}, begin int, finish int, sentence string, p double")
+    # Ids travel as text: pandas would turn whole numbers beside a null into doubles.
+    found = docs.select(quoted(doc_id).cast("string"), quoted(text)).mapInPandas(
+        run, "doc_id string, begin int, finish int, sentence string, p double")
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
