@@ -140,9 +140,12 @@ def windows(touched: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataF
         order = np.argsort(listed)
         listed, salts = np.asarray(listed)[order], 1 + np.asarray(estimates)[order] // HOT
         at = np.minimum(np.searchsorted(listed, own), len(listed) - 1)
-        start = np.flatnonzero(listed[at] == own)
+        every = rolling(hashes, window, BASES[1]).view(np.int64)
+        # A window that a document repeats is one row, by its first start.
+        start = np.unique(every, return_index=True)[1]
+        start = start[listed[at[start]] == own[start]]
         salts = salts[at[start]]
-        h1 = rolling(hashes, window, BASES[1])[start].view(np.int64)
+        h1 = every[start]
         h2 = (rolling(hashes, window, BASES[2])[start] >> np.uint64(33)).astype(np.int32)
         salt = xxhash.xxh32_intdigest(doc.to_bytes(8, "little", signed=True)) % salts
         return h1, h2, salts, salt, np.full(len(start), doc), np.full(len(start), tid), start
@@ -182,13 +185,16 @@ def repeated_starts(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
 
 def kept_words(text: str | None, starts, window: int = WINDOW) -> tuple[int, list[bytes]]:
-    """Number of words of a text, and those outside the windows at starts."""
+    """Number of words of a text, and those outside the windows whose first starts are given."""
     words = split(text)
     if starts is None or not len(starts):
         return len(words), words
+    # Starts name each repeated window once; its other places in the text go with it.
+    own = rolling(word_hashes(words), window, BASES[1])
+    starts = np.flatnonzero(np.isin(own, own[np.asarray(starts)]))
     change = np.zeros(len(words) + 1, np.int64)
-    np.add.at(change, np.asarray(starts), 1)
-    np.add.at(change, np.asarray(starts) + window, -1)
+    np.add.at(change, starts, 1)
+    np.add.at(change, starts + window, -1)
     keep = np.cumsum(change[:-1]) == 0
     return len(words), [words[i] for i in np.flatnonzero(keep)]
 
