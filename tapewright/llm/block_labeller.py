@@ -14,8 +14,8 @@ the labeller does not hang on one layout. The model is trained on the driver in
 fixed number of small steps; extraction is one pass without a shuffle.
 
 Defined cases: a null, empty or blank page has an empty text; so has a page without
-main blocks; tables without pages train nothing and give an empty result; repeated rows
-are extracted each; pages of any length are read whole; other columns may have any name.
+main blocks; pages without an id teach nothing; tables without pages train nothing and
+give an empty result; repeated rows are extracted each; pages of any length are read whole; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -274,9 +274,11 @@ def label(pages: list[list[Block]], model: BiLstm) -> list[np.ndarray]:
 
 def fit(pages: DataFrame, page_id: str = "page_id", page: str = "html", sample: int = SAMPLE) -> BiLstm:
     """Train on the first sample pages by a hash of their id."""
-    rows = (pages.select(quoted(page_id).alias("k"), quoted(page).alias("h")).where("h is not null")
-            .orderBy(F.xxhash64("k"), "k").limit(sample).collect())
-    return train([r.h for r in rows])
+    rows = pages.select(quoted(page_id).alias("k"), quoted(page).alias("h")).where("h is not null")
+    # Ids first: a top-k over whole pages would send sample pages from every task.
+    chosen = [r.k for r in rows.select("k").orderBy(F.xxhash64("k"), "k").limit(sample).collect()]
+    found = rows.where(F.col("k").isin([k for k in chosen if k is not None])).limit(2 * sample).collect()
+    return train([r.h for r in sorted(found, key=lambda r: (r.k, r.h))][:sample])
 
 
 def extract(pages: DataFrame, model: BiLstm, page_id: str = "page_id", url: str = "url", page: str = "html",
@@ -295,6 +297,7 @@ def extract(pages: DataFrame, model: BiLstm, page_id: str = "page_id", url: str
                 yield pd.DataFrame({"page_id": part.iloc[:, 0], "url": part.iloc[:, 1], "text": texts,
                                     "n_blocks": [len(f) for f in parsed], "n_main": n_main})
 
-    kinds = [pages.schema[c].dataType.simpleString() for c in (page_id, url)]
-    return pages.select(*map(quoted, (page_id, url, page))).mapInPandas(
-        run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_blocks long, n_main long")
+    # Ids travel as text: pandas would turn whole numbers beside a null into doubles.
+    found = pages.select(quoted(page_id).cast("string"), quoted(url), quoted(page)).mapInPandas(
+        run, "page_id string, url string, text string, n_blocks long, n_main long")
+    return found.withColumn("page_id", F.col("page_id").cast(pages.schema[page_id].dataType))
