@@ -2,9 +2,9 @@
 
 Calls and results are joined by (conversation, call id) with hash joins; of repeated ids
 the first in message order counts, the others are marked. Calls may name calls that
-they need; a call's level is the longest chain of needs below it, found by settling one
-level of the whole corpus in each round, so messages of a conversation are ordered by
-(level, turn) without ever gathering a conversation in one task. Arguments are checked
+they need; a call's level is the longest chain of needs below it, found for the whole corpus
+at once by pointer doubling, so messages of a conversation are ordered by (level, turn)
+without ever gathering a conversation in one task. Arguments are checked
 against the tool's JSON schema, and every message is written as canonical JSON: sorted
 keys, no white space, characters as they are.
 
@@ -104,33 +104,67 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     return found
 
 
+KEY = ["conv_id", "call_id"]
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, level of every distinct call; level is null on or behind a cycle.
 
-    Each round settles the calls whose needs are settled; the rounds are as many as the
-    longest chain, whatever the number of conversations."""
-    nodes = stage(calls.where("call_id is not null").groupBy("conv_id", "call_id")
+    Calls with a single need form chains. Each of their pointers is doubled until it ends at
+    a call with no need or several, so a chain of n calls takes log2(n) rounds, whatever the
+    number of conversations. Only calls with several needs are then settled level by level.
+    """
+    nodes = stage(calls.where("call_id is not null").groupBy(*KEY)
                   .agg(F.min_by("needs", "turn").alias("needs")), "call-nodes")
-    edges = (nodes.select("conv_id", "call_id", F.explode("needs").alias("need")).distinct()
-             .join(nodes.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"]))
-    edges = stage(edges, "call-edges")
-    waiting = edges.select("conv_id", "call_id").distinct()
-    done = stage(nodes.select("conv_id", "call_id").join(waiting, ["conv_id", "call_id"], "left_anti")
-                 .withColumn("level", F.lit(0)), "call-levels")
-    newest, settled = done, [done]
-    while not edges.isEmpty() and not newest.isEmpty():
-        met = newest.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("met"))
-        edges = stage(edges.drop("met").join(met, ["conv_id", "need"], "left"), "call-edges")
-        ready = (edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("met").alias("m"))
-                 .where("n = m").select("conv_id", "call_id", F.lit(len(settled)).alias("level")))
-        newest = stage(ready, "call-levels")
+    edges = stage(nodes.select(*KEY, F.explode("needs").alias("need")).distinct()
+                  .join(nodes.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"]), "call-edges")
+    counted = edges.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("need").alias("only"))
+    single = F.coalesce(F.col("n") == 1, F.lit(False))
+    pointers = stage(nodes.select(*KEY).join(counted, KEY, "left").select(
+        *KEY, F.coalesce("n", F.lit(0)).alias("n"), F.when(single, F.col("only")).otherwise(F.col("call_id")).alias("to"),
+        single.cast("int").alias("steps"), (~single).alias("ends")), "call-pointers")
+
+    # A pointer that has not ended after as many doublings as all calls would need is on a cycle.
+    rounds = max(1, pointers.count()).bit_length() + 1
+    while rounds and not pointers.where("not ends").isEmpty():
+        ahead = pointers.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"),
+                                F.col("steps").alias("more"), F.col("ends").alias("then"))
+        moved = pointers.where("not ends").join(ahead, ["conv_id", "to"]).select(
+            *KEY, "n", F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.col("then").alias("ends"))
+        pointers = stage(pointers.where("ends").unionByName(moved), "call-pointers")
+        rounds -= 1
+
+    settled = _several_needs(pointers, edges).select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("base"))
+    return pointers.join(settled, ["conv_id", "to"], "left").select(
+        *KEY, F.when(F.col("ends"), F.col("base") + F.col("steps")).alias("level"))
+
+
+def _several_needs(pointers: DataFrame, edges: DataFrame) -> DataFrame:
+    """Levels of the calls where chains end: 0 without needs; with several, one more than the
+    highest of them. Each round settles the calls whose needs are settled."""
+    newest = pointers.where("n = 0").select(*KEY, F.lit(0).alias("level"))
+    settled = [newest]
+    several = pointers.where("n > 1").select(*KEY)
+    if several.isEmpty():
+        return newest
+    through = pointers.select("conv_id", F.col("call_id").alias("need"), "to", "steps", "ends")
+    # Where a need's chain runs in a cycle there is nothing to wait for: it is never met.
+    waiting = stage(edges.join(several, KEY, "left_semi").join(through, ["conv_id", "need"]).select(
+        *KEY, F.when(F.col("ends"), F.col("to")).alias("to"), (F.col("steps") + 1).alias("steps"),
+        F.lit(None).cast("int").alias("found")), "call-waiting")
+    while not newest.isEmpty():
+        met = newest.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("base"))
+        waiting = stage(waiting.join(met, ["conv_id", "to"], "left").select(
+            *KEY, "to", "steps", F.coalesce("found", F.col("base") + F.col("steps")).alias("found")), "call-waiting")
+        newest = stage(waiting.groupBy(*KEY).agg(
+            F.count("*").alias("all"), F.count("found").alias("met"), F.max("found").alias("level"))
+            .where("all = met").select(*KEY, "level"), "call-levels")
         settled.append(newest)
-        # Needs that are met go; calls that are settled go with all of theirs.
-        edges = edges.where("met is null").drop("met")
+        waiting = waiting.join(newest, KEY, "left_anti")
     everything = settled[0]
     for part in settled[1:]:
         everything = everything.unionByName(part)
-    return nodes.select("conv_id", "call_id").join(everything, ["conv_id", "call_id"], "left")
+    return everything
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict],

@@ -62,6 +62,33 @@ def test_links_and_levels(spark):
     assert texts[(3, 1)] == '{"content":null,"role":null}'
 
 
+def test_levels_of_random_needs(spark):
+    import random
+
+    rng, calls, want = random.Random(8), [], {}
+    for conv in range(30):
+        n = rng.randrange(1, 25)
+        needs = {k: rng.sample(range(k), min(k, rng.choice([0, 1, 1, 1, 2, 3]))) for k in range(n)}
+        if conv % 5 == 0 and n > 4:
+            needs[2] = [4]            # a cycle wherever 4 comes to need 2
+            needs[4] = [2]
+        level = {}
+
+        def depth(k, open_=()):
+            if k in open_:
+                return None
+            if k not in level:
+                below = [depth(x, (*open_, k)) for x in needs[k]]
+                level[k] = None if None in below else max([x + 1 for x in below], default=0)
+            return level[k]
+
+        for k in range(n):
+            want[(conv, f"c{k}")] = depth(k)
+            calls.append((conv, k, f"c{k}", "add", "{}", [f"c{x}" for x in needs[k]], 0, ""))
+    got = {(r.conv_id, r.call_id): r.level for r in L.levels(spark.createDataFrame(calls, CALLS)).collect()}
+    assert got == want
+
+
 def test_long_chain_and_empty(spark):
     chain = [(1, k, f"c{k}", "add", '{"a":1}', [f"c{k - 1}"]) for k in range(12)]
     df = spark.createDataFrame([(*c, 0, "") for c in chain], CALLS)
