@@ -8,7 +8,7 @@
    is its estimate, never below the true count. The sketch has eight to sixteen cells
    per anchor, so it thins equally well at every size; it is a distributed table, never
    sent to a task whole.
-3. Exact pass. Only windows whose anchor is estimated to occur twice are hashed (96
+3. Exact pass. Only windows whose anchor is estimated to occur twice are hashed (95
    bits) and grouped; none that repeats is left out. A window loses where a smaller
    doc_id has it. The estimate also tells how many groups a hot window is salted into;
    the smallest document of each salt then meets the others in a second round.
@@ -27,6 +27,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,8 +38,8 @@ WINDOW = 50
 GRAM = 16
 ROWS = 2
 HOT = 10_000
-BATCH = 100_000  # windows handed on at once
-MEMO = 500_000   # word hashes remembered by a worker
+BATCH = 50_000  # windows handed on at once
+MEMO = 150_000   # word hashes remembered by a worker
 # Odd multipliers of the rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -101,13 +102,23 @@ def anchors(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     """doc, tid, anchor: the anchors of each document, each once."""
     def run(batches):
         for batch in batches:
-            found = [np.unique(window_anchors(word_hashes(split(t)), window, gram)) for t in batch["text"]]
+            found = [np.unique(window_anchors(word_hashes(split(t)), window, gram))
+                     for t, in _one_by_one(batch, ("text",))]
             sizes = [len(f) for f in found]
-            yield pd.DataFrame({
-                "doc": np.repeat(batch["doc"].to_numpy(), sizes), "tid": np.repeat(batch["tid"].to_numpy(), sizes),
-                "anchor": np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)})
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(batch.column("doc").to_numpy(zero_copy_only=False), sizes)),
+                pa.array(np.repeat(batch.column("tid").to_numpy(zero_copy_only=False), sizes)),
+                pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64))],
+                names=["doc", "tid", "anchor"])
+
+    return rows.select("doc", "tid", "text").mapInArrow(run, "doc long, tid long, anchor long")
+
 
-    return rows.select("doc", "tid", "text").mapInPandas(run, "doc long, tid long, anchor long")
+def _one_by_one(batch: pa.RecordBatch, names):
+    """Rows of a batch as Python values, one alive at a time: texts are not all copied at once."""
+    columns = [batch.column(n) for n in names]
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in columns)
 
 
 def _cell(row: int, width: int) -> Column:
@@ -133,6 +144,7 @@ def repeated_anchors(found: DataFrame) -> DataFrame:
 def windows(touched: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Exact rows of the windows whose anchor is listed: h1, h2, salts, salt, doc, tid, start."""
     columns = ["h1", "h2", "salts", "salt", "doc", "tid", "start"]
+    types = [np.int64, np.int32, np.int32, np.int32, np.int64, np.int64, np.int32]
 
     def of_document(doc, tid, text, listed, estimates):
         hashes = word_hashes(split(text))
@@ -153,25 +165,33 @@ def windows(touched: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataF
     def run(batches):
         for batch in batches:
             parts, size = [], 0
-            for row in zip(*(batch[c].tolist() for c in ("doc", "tid", "text", "anchors", "estimates"))):
+            for row in _one_by_one(batch, ("doc", "tid", "text", "anchors", "estimates")):
                 parts.append(of_document(*row))
                 size += len(parts[-1][0])
                 if size >= BATCH:
-                    yield pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*parts)))))
+                    yield table(parts)
                     parts, size = [], 0
             if parts:
-                yield pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*parts)))))
+                yield table(parts)
 
-    return touched.mapInPandas(run, "h1 long, h2 int, salts int, salt int, doc long, tid long, start int")
+    def table(parts):
+        arrays = [pa.array(np.concatenate(p).astype(t)) for p, t in zip(zip(*parts), types)]
+        return pa.RecordBatch.from_arrays(arrays, names=columns)
 
+    return touched.mapInArrow(run, "h1 long, h2 int, salts int, salt int, doc long, tid long, start int")
 
-def repeated_starts(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(touched, starts) of rows (doc, tid, text): those with windows that may repeat, and
-    for each the starts of its windows that a smaller doc has (doc, tid, starts)."""
+
+def touched_documents(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """Staged rows (doc, tid, text) that have anchors estimated to repeat, with these
+    (anchors, estimates): at most one for each of a document's words."""
     found = stage(anchors(rows, window, gram), "window-anchors")
     listed = (repeated_anchors(found).groupBy("doc", "tid")
               .agg(F.collect_list("anchor").alias("anchors"), F.collect_list("estimate").alias("estimates")))
-    touched = stage(rows.join(listed, ["doc", "tid"]), "window-touched")
+    return stage(rows.join(listed, ["doc", "tid"]), "window-touched")
+
+
+def repeated_starts(touched: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """doc, tid, starts of the windows of touched documents that a smaller doc has."""
     exact = windows(touched, window, gram)
     first = F.min("doc").over(Window.partitionBy("h1", "h2", "salt"))
     marked = stage(exact.withColumn("lost", F.col("doc") > first).where("lost or salts > 1"), "window-marked")
@@ -180,8 +200,7 @@ def repeated_starts(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     if not winners.isEmpty():
         first = F.min("doc").over(Window.partitionBy("h1", "h2"))
         lost = lost.unionByName(winners.withColumn("first", first).where("doc > first").select("doc", "tid", "start"))
-    starts = lost.groupBy("doc", "tid").agg(F.collect_list("start").alias("starts"))
-    return touched.select("doc", "tid", "text"), starts
+    return lost.groupBy("doc", "tid").agg(F.collect_list("start").alias("starts"))
 
 
 def kept_words(text: str | None, starts, window: int = WINDOW) -> tuple[int, list[bytes]]:
@@ -219,8 +238,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     finish is applied to kept before rows meet, so a digest moves instead of a text."""
     rows, single = keyed_rows(docs, doc_id, text)
-    touched, starts = repeated_starts(single, window, gram)
-    changed = _cut(touched.join(starts, ["doc", "tid"]), window).select(
+    touched = touched_documents(single, window, gram)
+    cut = touched.select("doc", "tid", "text").join(repeated_starts(touched, window, gram), ["doc", "tid"])
+    changed = _cut(cut, window).select(
         "doc", "tid", F.struct("n_removed", finish(F.col("kept")).alias("kept")).alias("new"))
     plain = _cut(rows.withColumn("starts", F.array().cast("array<int>")), window).withColumn(
         "kept", finish(F.col("kept")))
