@@ -7,7 +7,8 @@ import os
 
 import numpy as np
 
-MEMO = 1_000_000   # pieces remembered by a worker
+MEMO = 1_500_000   # pieces remembered by a worker
+START = "\r"        # marks the first piece of a line; never part of a printable one
 JOIN = 1 << 18     # characters of new pieces encoded in one call
 
 
@@ -38,7 +39,9 @@ class Encoder:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _pieces(self, text: str) -> list[str] | None:
-        """The text cut before single spaces and around single line feeds, or None."""
+        """The text cut before single spaces and around single line feeds, or None.
+
+        A piece stands for itself after a space, or, marked by START, without one."""
         if not self._by_piece or any(s in text for s in self._special):
             return None
         pieces = []
@@ -48,8 +51,8 @@ class Encoder:
             if pieces:
                 pieces.append("\n")
             words = line.split(" ")
-            pieces.append(words[0])
-            pieces.extend([" " + w for w in words[1:]])
+            words[0] = START + words[0]
+            pieces.extend(words)
         return pieces
 
     def _learn(self, new: list[str]) -> None:
@@ -60,15 +63,16 @@ class Encoder:
             while upto < len(new) and size < JOIN:
                 size += len(new[upto]) + 1
                 upto += 1
-            part = new[at:upto]
+            keys = new[at:upto]
+            part = [k[1:] if k[0] == START else " " + k for k in keys]
             ids = np.array(self._tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self._newline), len(ids))
             if len(ends) == len(part):
                 data = ids.tobytes()
                 starts = np.append(0, ends[:-1] + 1)
-                self._memo.update((p, data[4 * a:4 * b]) for p, a, b in zip(part, starts.tolist(), ends.tolist()))
+                self._memo.update((k, data[4 * a:4 * b]) for k, a, b in zip(keys, starts.tolist(), ends.tolist()))
             else:  # a vocabulary in which a line feed joins its neighbours
-                self._memo.update((p, self._whole(p)) for p in part)
+                self._memo.update((k, self._whole(p)) for k, p in zip(keys, part))
             at = upto
 
     def encode(self, texts: list[str]) -> list[bytes]:
