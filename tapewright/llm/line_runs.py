@@ -7,7 +7,8 @@ fingerprint at the same place of both copies. Only fingerprints that are found a
 or more places go on. Around each, the match is extended both ways: every window that
 selected it is compared whole, all its lines, with the first place in (doc_id, line)
 order that has the same lines. Overlapping windows add up to the whole repeated run, and
-every later copy of a run is deleted.
+every later copy of a run is deleted. Runs of fewer than WINDOW lines stay unless
+``short_words`` is given; then windows of one line up to WINDOW - 1 are made too.
 
 A place is compared with the first place of its lines only, never with every other
 one, so a line that a third of the documents share costs one row per occurrence: its
@@ -28,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import LAST, SPACES, keyed_rows, stage, whole
+from tapewright.llm.common import LAST, SPACES, keyed_rows, stage, whole, words
 
 WINDOW = 3
 
@@ -38,28 +39,43 @@ def _worded(lines: Column) -> Column:
     return F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x, F.lit(SPACES)) != "", i)), lambda i: i.isNotNull())
 
 
-def windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc, tid, start, fingerprint, run of every window; run is the hash of all its lines.
+def _places(n: Column, size: int) -> Column:
+    """start and size of every window of so many lines among n."""
+    none = F.array().cast("array<struct<start:int,size:int>>")
+    return F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), lambda i: F.struct(
+        i.alias("start"), F.lit(size).alias("size")))).otherwise(none)
 
+
+def windows(rows: DataFrame, window: int = WINDOW, short_words: int | None = None) -> DataFrame:
+    """doc, tid, start, size, fingerprint, run of every window; run is the hash of all its lines.
+
+    With short_words, windows of fewer lines and at least so many words are made as well.
     Lines are hashed to 128 bits, so places are told apart by content for any corpus."""
     lines = rows.withColumn("lines", F.split(whole(F.col("text")), "\n")).drop("text")
     at = lines.withColumn("at", _worded(F.col("lines")))
-    hashed = at.select("doc", "tid", F.transform("at", lambda i: F.md5(F.get("lines", i).cast("binary"))).alias("h"))
-    n = F.size("h")
-    each = F.when(n >= window, F.sequence(F.lit(0), n - window)).otherwise(F.array().cast("array<int>"))
-    starts = hashed.select("doc", "tid", "h", F.explode(each).alias("start"))
-    part = starts.select("doc", "tid", "start", F.slice("h", F.col("start") + 1, window).alias("part"))
+    line = lambda i: F.get("lines", i)
+    # A single line has a word, so where one word is enough, windows of one line cover all longer ones.
+    sizes = [window] if short_words is None else [1] if short_words <= 1 else [*range(1, window), window]
+    counts = F.transform("at", lambda i: F.size(words(line(i)))) if len(sizes) > 1 else F.array().cast("array<int>")
+    hashed = at.select("doc", "tid", F.transform("at", lambda i: F.md5(line(i).cast("binary"))).alias("h"),
+                       counts.alias("c"))
+    each = F.concat(*[_places(F.size("h"), k) for k in sizes])
+    starts = hashed.select("doc", "tid", "h", "c", F.explode(each).alias("w")).select("doc", "tid", "h", "c", "w.*")
+    if len(sizes) > 1:
+        held = F.aggregate(F.slice("c", F.col("start") + 1, F.col("size")), F.lit(0), lambda x, y: x + y)
+        starts = starts.where((F.col("size") == window) | (held >= short_words))
+    part = starts.select("doc", "tid", "start", "size", F.slice("h", F.col("start") + 1, F.col("size")).alias("part"))
     least = F.array_min("part")
     # The rightmost of equal minima is the selected place; the winnowing of the window.
     back = F.array_position(F.reverse("part"), least)
-    return part.select("doc", "tid", "start", least.alias("fingerprint"),
-                       (F.col("start") + window - back).cast("int").alias("place"),
+    return part.select("doc", "tid", "start", "size", least.alias("fingerprint"),
+                       (F.col("start") + F.col("size") - back).cast("int").alias("place"),
                        F.md5(F.array_join("part", "").cast("binary")).alias("run"))
 
 
-def later_starts(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc, tid, starts: windows of each document whose lines come earlier somewhere."""
-    every = stage(windows(rows, window), "line-windows")
+def later_starts(rows: DataFrame, window: int = WINDOW, short_words: int | None = None) -> DataFrame:
+    """doc, tid, starts: start and size of each document's windows whose lines come earlier somewhere."""
+    every = stage(windows(rows, window, short_words), "line-windows")
     places = every.select("fingerprint", "doc", "tid", "place")
     spot = F.struct("doc", "tid", "place")
     shared = (places.groupBy("fingerprint").agg(F.min(spot).alias("low"), F.max(spot).alias("high"))
@@ -68,19 +84,22 @@ def later_starts(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     candidates = stage(every.join(shared, "fingerprint"), "line-candidates")
     first = candidates.groupBy("fingerprint", "run").agg(F.min(here).alias("first"))
     return (candidates.join(first, ["fingerprint", "run"]).where(here > F.col("first"))
-            .groupBy("doc", "tid").agg(F.collect_set("start").alias("starts")))
+            .groupBy("doc", "tid").agg(F.collect_set(F.struct("start", "size")).alias("starts")))
 
 
 def remove_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
-                finish: Callable[[Column], Column] = lambda kept: kept) -> DataFrame:
+                finish: Callable[[Column], Column] = lambda kept: kept, short_words: int | None = None) -> DataFrame:
     """Per row: doc_id, n_lines (with a word), n_removed, kept (the text without deleted lines).
 
+    Repeated runs of at least window lines go; with short_words also shorter ones of at least
+    so many words, those of documents with fewer lines included (1: every repeated line).
     finish is applied to kept as soon as it is made."""
     rows, single = keyed_rows(docs, doc_id, text)
-    cut = rows.join(later_starts(single, window), ["doc", "tid"], "left")
+    cut = rows.join(later_starts(single, window, short_words), ["doc", "tid"], "left")
     lines = cut.withColumn("lines", F.split(whole(F.col("text")), "\n")).drop("text")
     at = lines.withColumn("at", _worded(F.col("lines")))
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + window - 1))))
+    covered = F.array_distinct(F.flatten(F.transform(
+        "starts", lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1))))
     gone = at.withColumn("gone", F.coalesce(F.transform(covered, lambda k: F.get("at", k)),
                                             F.array().cast("array<int>")))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))

@@ -82,6 +82,27 @@ def op3(spark, sf_dir):
     return out.withColumnRenamed("kept", "kept_sha256")
 
 
+@query("op3_short_line_runs", r"""
+with d as (
+  select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+e as (select r, doc_id, unnest(lines) as line, unnest(range(1, len(lines) + 1)) as p from d),
+f as (
+  select *, row_number() over (partition by line order by doc_id nulls last, p) as n
+  from e where regexp_matches(line, '[^\x20\x09-\x0D]')),
+kept as (
+  select e.r, string_agg(e.line, chr(10) order by e.p) as kept
+  from e left join f on e.r = f.r and e.p = f.p where coalesce(f.n, 1) = 1 group by e.r),
+n as (select r, count(*) as n, count(*) filter (n > 1) as m from f group by r)
+select doc_id, coalesce(n.n, 0) as n_lines, coalesce(n.m, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join kept on d.r = kept.r left join n on d.r = n.r
+""")
+def op3_short(spark, sf_dir):
+    """As op3_line_runs, with repeated runs of one and two lines removed as well."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    out = line_runs.remove_runs(docs, finish=lambda kept: F.sha2(kept, 256), short_words=1)
+    return out.withColumnRenamed("kept", "kept_sha256")
+
+
 @query("op4_window_repeats", r"""
 with d as (
   select row_number() over () as r, doc_id,

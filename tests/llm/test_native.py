@@ -171,3 +171,26 @@ def test_line_runs(spark):
     got = [tuple(r) for r in line_runs.remove_runs(df).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert line_runs.remove_runs(df.limit(0)).count() == 0
+
+
+def test_line_runs_short(spark):
+    rows = [(1, "one two three\nshort"), (2, "one two three\nshort"), (3, "x\n\none two three\ny"), (4, "short"),
+            (5, "p q\nr s"), (6, "p q\n \nr s\nz"), (7, "z\np q"), (None, "short\nz"), (9, "a\nb\nc"), (10, "c\na\nb\nc")]
+    for short_words in (1, 3, 4):
+        seen, want = {}, []
+        for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+            lines = t.split("\n")
+            at = [k for k, x in enumerate(lines) if words(x)]
+            gone = set()
+            for size in (1, 2, 3):
+                for k in range(len(at) - size + 1):
+                    run = tuple(lines[p] for p in at[k:k + size])
+                    long_enough = size == 3 or sum(len(words(x)) for x in run) >= short_words
+                    if long_enough and seen.setdefault(run, (i, k)) != (i, k):
+                        gone.update(at[k:k + size])
+            want.append((i, len(at), len(gone), "\n".join(x for p, x in enumerate(lines) if p not in gone)))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = [tuple(r) for r in line_runs.remove_runs(df, short_words=short_words).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        assert (2, 2, 2, "") in got
+    assert line_runs.remove_runs(df.limit(0), short_words=1).count() == 0
