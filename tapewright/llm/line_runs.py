@@ -4,10 +4,14 @@ A document's lines (those with a word) are hashed. In every window of ``WINDOW``
 consecutive lines the smallest hash, the rightmost if it repeats, is selected as a
 fingerprint. A run of at least WINDOW lines that occurs twice therefore shares a
 fingerprint at the same place of both copies. Only fingerprints that are found at two
-or more places go on. Around each, the match is extended both ways: every window that
-selected it is compared whole, all its lines, with the first place in (doc_id, line)
-order that has the same lines. Overlapping windows add up to the whole repeated run, and
-every later copy of a run is deleted. Runs of fewer than WINDOW lines stay unless
+or more places go on. Places are not joined in pairs and no match is extended line by
+line. Instead every window, not only one for each selected place, is compared whole, all its
+lines, with the first place in (doc_id, line) order that has the same lines. A repeated run
+is the union of its windows, so the lines found are those that extending every pair both ways
+would find. Every later copy of a run is deleted. The fingerprints only spare windows that
+share none from the comparison. Extending from the first place of a fingerprint alone would not do:
+its neighbours may differ there while a later place repeats the whole run.
+Runs of fewer than WINDOW lines stay unless
 ``short_words`` is given; then windows of one line up to WINDOW - 1 are made too.
 
 A place is compared with the first place of its lines only, never with every other

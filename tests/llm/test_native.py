@@ -194,3 +194,11 @@ def test_line_runs_short(spark):
         assert sorted(got, key=str) == sorted(want, key=str)
         assert (2, 2, 2, "") in got
     assert line_runs.remove_runs(df.limit(0), short_words=1).count() == 0
+
+
+def test_line_runs_beyond_the_first_place(spark):
+    # The line that all three share stands first between other neighbours; the run is repeated after that.
+    rows = [(1, "u\nshared\nv"), (2, "c\nshared\nd\ne"), (3, "c\nshared\nd\ne\nf")]
+    got = line_runs.remove_runs(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_removed, r.kept) for r in got.collect()) == [
+        (1, 0, rows[0][1]), (2, 0, rows[1][1]), (3, 4, "f")]
