@@ -13,18 +13,26 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import scalars as S
 
-KEY_COLUMN = "ticker"   # the first column of every layout
+KEY_COLUMN = "ticker"   # a column of every layout
 
 
 def _headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
     """Header line -> the files that begin with it.
 
-    A header is the only line of a file that starts with the name of a column, so it is found
-    by a text filter; what reaches the driver is one line and one name per file."""
-    lines = spark.read.text(paths).where(F.lower(F.trim("value")).startswith(KEY_COLUMN + ","))
+    The header is the first line of a file that is not blank, whatever it looks like; what
+    reaches the driver is that line and the name of each file. A file whose first line does not
+    name the ticker has no header, and an error says so."""
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"))
+    # Rows of a block keep their order, so the smallest number in the first block is the first line.
+    firsts = lines.where("block = 0 and trim(value) <> ''").groupBy("path").agg(F.min_by("value", "at").alias("value"))
     found: dict[str, list[str]] = {}
-    for row in lines.select("value", F.col("_metadata.file_path").alias("path")).distinct().collect():
-        found.setdefault(row["value"], []).append(row["path"])
+    for row in firsts.collect():
+        header = row["value"].removeprefix("\ufeff")
+        if KEY_COLUMN not in (name.strip().strip('"').strip().lower() for name in header.split(",")):
+            raise ValueError(f"no header with a column {KEY_COLUMN} in {row['path']}")
+        found.setdefault(header, []).append(row["path"])
     return found
 
 

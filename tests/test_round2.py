@@ -171,3 +171,20 @@ def test_finalize_rewrites_touched_partitions_only(spark, tmp_path):
         got = sorted((r.trade_uid, r.dt, r.aggressor_side, r.quality) for r in spark.read.parquet(path).collect())
         assert got == [(1, "a", "Unknown", "Prelim"), (2, "a", "Buyer", "Final"), (3, "b", "Unknown", "Prelim")]
     assert sorted(p.name for p in Path(path, "dt=b").glob("*.parquet")) == untouched
+
+
+def test_odd_headers_lose_no_file(spark, tmp_path):
+    texts = {"plain": "ticker,bid_price,ask_price\nA,1,2\n", "longer": "ticker,bid_price,ask_price,tape\nB,1,2,1\n",
+             "quoted": '"ticker","ask_price","bid_price"\nC,2,1\n', "mark": "\ufeffticker,ask_price,bid_price\nD,2,1\n",
+             "other": "\nask_price,ticker,bid_price\n2,E,1\n", "empty": ""}
+    paths = {}
+    for name, text in texts.items():
+        paths[name] = str(tmp_path / f"{name}.csv")
+        (tmp_path / f"{name}.csv").write_text(text)
+    for names in (list(texts), ["plain", "quoted"], ["mark", "other"]):
+        rows = flatfiles.read_csv(spark, [paths[n] for n in names]).select("ticker", "bid_price", "ask_price").collect()
+        want = ["ABCDE"["plain longer quoted mark other".split().index(n)] for n in names if n != "empty"]
+        assert sorted(map(tuple, rows)) == [(t, "1", "2") for t in sorted(want)]
+    (tmp_path / "none.csv").write_text("A,1,2\nB,1,2\n")
+    with pytest.raises(ValueError, match="none.csv"):
+        flatfiles.read_csv(spark, [paths["plain"], str(tmp_path / "none.csv")])
