@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewright.llm.common import free_names, quoted, stage
+from tapewright.llm.common import free_names, one_per_key, quoted, stage, whole
 from tapewright.llm.components import components
 
 DISTANCE = 3
@@ -212,23 +212,33 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     return pairs
 
 
+def _firsts(rows: DataFrame, first: Column) -> DataFrame:
+    """fp, best: the smallest value of first over all rows of the fingerprint's component."""
+    groups = stage(rows.groupBy("fp").agg(F.min(first).alias("first")), "simhash-groups")
+    linked = components(links(groups.select("fp")))
+    rooted = groups.join(linked, groups.fp == linked.node, "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    roots = rooted.groupBy("root").agg(F.min("first").alias("best"))
+    return stage(rooted.join(roots, "root").select("fp", "best"), "simhash-components")
+
+
 def mark(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, fp (signed long), component_id (smallest doc_id reachable)."""
     rows = stage(docs.select(quoted(doc_id).alias("doc_id"), fingerprints(docs, text).alias("fp")), "simhash-rows")
-    groups = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-groups")
-    linked = components(links(groups.select("fp")))
-    rooted = groups.join(linked, groups.fp == linked.node, "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    roots = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = stage(rooted.join(roots, "root").select("fp", "component_id"), "simhash-components")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = _firsts(rows, F.col("doc_id"))
+    return rows.join(named, "fp").select("doc_id", "fp", F.col("best").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, the one with its id. Rows without a doc_id stay,
-    and so do all rows that share the doc_id of a document that stays."""
-    lost_id, = free_names(docs, "lost_id")
-    lost = stage(mark(docs, doc_id, text).groupBy("doc_id")
-                 .agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("own"))
-                 .where("own = 0").select(F.col("doc_id").alias(lost_id)), "simhash-lost")
-    return docs.join(lost, docs[f"`{doc_id}`"] == lost[f"`{lost_id}`"], "left_anti")
+    """One row of each component: the smallest doc_id, null last; of rows that share it, the one
+    whose text has the smallest hash."""
+    key, lost_id, lost_key = free_names(docs, "text_key", "lost_id", "lost_key")
+    text_key = F.md5(whole(quoted(text)).cast("binary"))
+    rows = stage(docs.select(quoted(doc_id).alias("doc_id"), fingerprints(docs, text).alias("fp"),
+                             text_key.alias("text_key")), "simhash-rows")
+    place = F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "text_key")
+    lost = stage(rows.join(_firsts(rows, place), "fp").where(~place.eqNullSafe(F.col("best")))
+                 .select(F.col("doc_id").alias(lost_id), F.col("text_key").alias(lost_key)).distinct(), "simhash-lost")
+    named = docs.withColumn(key, text_key)
+    kept = named.join(lost, named[f"`{doc_id}`"].eqNullSafe(lost[lost_id]) & (named[key] == lost[lost_key]), "left_anti")
+    return one_per_key(kept, [doc_id, key]).drop(key)

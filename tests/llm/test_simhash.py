@@ -118,3 +118,15 @@ def test_components_of_chains(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
+
+
+def test_deduplicate_null_and_repeated_ids(spark):
+    near, far = " ".join(f"w{i}" for i in range(300)), " ".join(f"z{i}" for i in range(300))
+    upper, only = near.upper(), " ".join(f"q{i}" for i in range(300))
+    rows = [(1, near), (1, upper), (1, near), (None, near), (None, near), (7, upper), (1, far), (3, far),
+            (None, only), (None, only), (None, only.upper())]
+    fp = {r.fp for r in simhash.mark(spark.createDataFrame([(1, near), (2, upper)], "doc_id long, text string")).collect()}
+    got = [tuple(r) for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(fp) == 1 and len(got) == 3
+    assert sorted((i is None, i or 0, t.lower()) for i, t in got) == sorted([
+        (False, 1, near), (False, 1, far), (True, 0, only)])
