@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapewright.llm import (
-    block_labeller, cost_packing, exact_copies, fair_mix, host_rules, line_runs, noisy_or, simhash, tool_links,
-    window_repeats,
+    block_labeller, byte_bpe, cost_packing, exact_copies, fair_mix, host_rules, line_runs, mask_search, noisy_or,
+    periodic_runs, simhash, tool_links, window_repeats,
 )
+from tapewright.llm.common import words
 
 QUERIES = {}
 ORACLES = {}
@@ -316,3 +317,76 @@ def op10(spark, sf_dir):
     measures = F.col(m)
     return out.select("doc_id", *[measures[n].alias(n) for n in names],
                       host_rules.base_failed(measures).alias("base_failed"), F.col(kept).alias("kept"))
+
+
+def rank_vocabulary():
+    """Path of the byte-level vocabulary as ranks, and the pattern that cuts texts before it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op11_byte_bpe")
+def op11(spark, sf_dir):
+    """Every document's ids, and the bytes that they decode to, as digests."""
+    vocabulary = rank_vocabulary()
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), *vocabulary)
+    coded = coded.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                         F.sha2("ids", 256).alias("ids_sha256"))
+    decoded = byte_bpe.decode(coded, *vocabulary, keys=("doc_id", "n_tokens", "ids_sha256"))
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("data", 256).alias("decoded_sha256"))
+
+
+def with_periods(docs):
+    """docs with every tenth text, by its hash, made periodic from some word on; words keep their number."""
+    hashed = F.crc32(F.col("doc_id").cast("string"))
+    docs = docs.withColumn("g", F.floor(hashed / 10)).withColumn("w", F.when(hashed % 10 == 0, words(F.col("text"))))
+    docs = docs.withColumn("n", F.size("w")).withColumn("a", F.expr("cast(if(n > 0, g % n, 0) as int)"))
+    docs = docs.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    # The words before the period, then its words over and over.
+    again = F.expr("""array_join(concat(slice(w, 1, a),
+        slice(flatten(array_repeat(slice(w, a + 1, p), cast((n - a + p - 1) div p as int))), 1, n - a)), ' ')""")
+    return docs.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf_dir):
+    """Every document's periodic runs: their number, the most periodic, digests of all and of the words left."""
+    found = periodic_runs.find(with_periods(table(spark, sf_dir, "documents", "doc_id", "text")))
+    # Runs come by start and period, so only a greater exponent replaces the one before.
+    best = F.expr("""aggregate(runs, cast(null as struct<start: bigint, length: bigint, period: bigint>), (b, r) ->
+        if(b is null or r.length * b.period > b.length * r.period, r, b))""")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return (found.withColumn("best", best)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                    F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                    F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
+@query("op13_mask_search", r"""
+with t as (
+  select doc_id, row_number() over () as r,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+q as (
+  select distinct item_id, unnest(
+      regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+d as (select r, doc_id, cast(len(terms) as bigint) as n from t where len(terms) > 0),
+c as (select cast(count(*) as bigint) as n_docs, cast(sum(n) as bigint) as n_terms from d),
+p as (select r, term, cast(count(*) as bigint) as tf from (select r, unnest(terms) as term from t) group by r, term),
+f as (
+  select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) as bigint) as w
+  from (select term, count(*) as df from p group by term), c),
+s as (
+  select item_id, d.r, any_value(doc_id) as doc_id,
+         cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) as bigint) as score
+  from q join f using (term) join p using (term) join d on p.r = d.r, c group by item_id, d.r)
+select item_id, cast(rank as integer) as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from s where score > 0)
+where rank <= 10
+""")
+def op13(spark, sf_dir):
+    """The ten best documents of every benchmark item."""
+    return mask_search.search(table(spark, sf_dir, "documents", "doc_id", "text"),
+                              table(spark, sf_dir, "benchmark", "item_id", "text"))
