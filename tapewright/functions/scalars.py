@@ -198,9 +198,9 @@ def instrument_prefix(instrument) -> Column:
 
 # ----------------------------------------------------------------- identifiers
 # Domain tags (fixed values).
-OPTION_UID_TAG = "option_trade_uid.v1"
-EQUITY_UID_TAG = "equity_trade_uid.v1"
-QUOTE_UID_TAG = "quote_uid.v1"
+OPTION_UID_TAG = "tapewright/trade/option"
+EQUITY_UID_TAG = "tapewright/trade/equity"
+QUOTE_UID_TAG = "tapewright/quote"
 
 
 def _uid_part(value: Column) -> Column:

@@ -29,34 +29,24 @@ def build_curves(points: DataFrame, position: str | None = None) -> DataFrame:
 
 
 def with_curve_rate(df: DataFrame, points: str = "points", tau: str = "tau") -> DataFrame:
-    """Add ``rate`` and ``extrapolated`` at a tenor: linear in the log discount factor
-    between points, flat before the first and after the last.
+    """Add ``rate`` and ``extrapolated`` at a tenor.
 
-    Steps are separate projections, so that the search over the points runs once per row.
+    Between two points ``rate * tenor`` runs along a straight line, so forwards are flat
+    there; outside of all points the nearest rate holds.
     """
-    tiny = F.lit(2.220446049250313e-16)
-    df = df.withColumn("__target", F.greatest(F.col(tau), F.lit(0.0)))
-    df = df.withColumn("__below", F.when(
-        F.col(points).isNotNull() & F.col(tau).isNotNull(),
-        F.size(F.filter(points, lambda p: p["tenor"] < F.col("__target"))),
-    ))
-    below, size = F.col("__below"), F.size(points)
+    t = F.col(tau)
     df = df.withColumns({
-        "__low": F.try_element_at(points, F.greatest(below, F.lit(1))),
-        "__high": F.try_element_at(points, F.least(below + 1, size)),
+        "__short": F.try_element_at(F.filter(points, lambda p: p["tenor"] < t), F.lit(-1)),
+        "__long": F.try_element_at(F.filter(points, lambda p: p["tenor"] >= t), F.lit(1)),
     })
-    t0, t1 = F.col("__low.tenor"), F.col("__high.tenor")
-    df = df.withColumns({
-        "__ld0": -F.col("__low.rate") * t0, "__ld1": -F.col("__high.rate") * t1,
-        "__w": (F.col("__target") - t0) / F.greatest(t1 - t0, tiny),
-    })
-    inside = -(F.col("__ld0") + (F.col("__ld1") - F.col("__ld0")) * F.col("__w")) \
-        / F.greatest("__target", tiny)
-    df = df.withColumns({
-        "rate": F.when((below == 0) | (below >= size), F.col("__low.rate")).otherwise(inside),
-        "extrapolated": F.coalesce((below >= size) & (below > 0), F.lit(False)),
-    })
-    return df.drop("__target", "__below", "__low", "__high", "__ld0", "__ld1", "__w")
+    a, b = F.col("__short"), F.col("__long")
+    # t lies strictly above the shorter tenor, so nothing divides by zero.
+    area = a["rate"] * a["tenor"] * (b["tenor"] - t) + b["rate"] * b["tenor"] * (t - a["tenor"])
+    between = area / (t * (b["tenor"] - a["tenor"]))
+    return df.withColumns({
+        "rate": F.when(a.isNull(), b["rate"]).when(b.isNull(), a["rate"]).otherwise(between),
+        "extrapolated": a.isNotNull() & b.isNull(),
+    }).drop("__short", "__long")
 
 
 # Days that a time in nanoseconds can fall on.
