@@ -32,7 +32,8 @@ def with_curve_rate(df: DataFrame, points: str = "points", tau: str = "tau") ->
     """Add ``rate`` and ``extrapolated`` at a tenor.
 
     Between two points ``rate * tenor`` runs along a straight line, so forwards are flat
-    there; outside of all points the nearest rate holds.
+    there: the rate leaves the longer point's as the shorter one pulls. Outside of all points the nearest
+    rate holds.
     """
     t = F.col(tau)
     df = df.withColumns({
@@ -41,8 +42,8 @@ def with_curve_rate(df: DataFrame, points: str = "points", tau: str = "tau") ->
     })
     a, b = F.col("__short"), F.col("__long")
     # t lies strictly above the shorter tenor, so nothing divides by zero.
-    area = a["rate"] * a["tenor"] * (b["tenor"] - t) + b["rate"] * b["tenor"] * (t - a["tenor"])
-    between = area / (t * (b["tenor"] - a["tenor"]))
+    pull = a["tenor"] * (b["tenor"] - t) / (t * (b["tenor"] - a["tenor"]))
+    between = b["rate"] + (a["rate"] - b["rate"]) * pull
     return df.withColumns({
         "rate": F.when(a.isNull(), b["rate"]).when(b.isNull(), a["rate"]).otherwise(between),
         "extrapolated": a.isNotNull() & b.isNull(),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.scalars import floor_div, utc_date, utc_hour
 from tapewright.operators import stats
+from tapewright.operators.ordered import landed
 
 
 # -------------------------------------------------------------------- filtering
@@ -104,7 +105,7 @@ def dedup_equity_trades(df: DataFrame, symbol: str = "symbol") -> DataFrame:
 def adaptive_staleness(aged: DataFrame, key: str, warn_us: int, drop_us: int,
                        age: str = "nbbo_age_us") -> DataFrame:
     """Per-instrument p99 of quote age, exact, within (warn, drop)."""
-    ages = stats.runs(aged.select(key, F.col(age).cast("double").alias("age")), [key], "age")
+    ages = landed(stats.runs(aged.select(key, F.col(age).cast("double").alias("age")), [key], "age"), "ages")
     p99 = stats.quantiles(ages, [key], {"p99": 0.99})
     bounded = F.greatest(F.least("p99", F.lit(float(drop_us))), F.lit(float(warn_us)))
     return p99.select(key, F.floor(bounded).cast("bigint").alias("staleness_us"))
@@ -118,10 +119,10 @@ def observe_ingest(df: DataFrame, ts: str, name: str = "ingest") -> tuple[DataFr
 
 
 def ingest_metrics(df: DataFrame, ts: str, batch_rows: int, planned_days: DataFrame) -> DataFrame:
-    """Rows, batches and completion per planned day."""
+    """Rows, batches and completion per planned day, and per other day that has rows."""
     daily = df.groupBy(utc_date(ts).alias("dt")).agg(F.count(F.lit(1)).alias("rows"))
     rows = F.coalesce(F.col("rows"), F.lit(0).cast("bigint"))
-    return planned_days.join(daily, "dt", "left").select(
+    return planned_days.join(daily, "dt", "full").select(
         "dt", rows.alias("rows"),
         floor_div(rows + F.lit(batch_rows - 1), batch_rows).alias("batches"),
         (rows > 0).alias("completed"))

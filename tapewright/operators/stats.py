@@ -4,25 +4,32 @@ Input is a table of values: grouping columns and one double column. Nothing here
 gathers a group's values in one task. Moments are partial aggregates. Order
 statistics and histograms run over *runs* (one row per distinct value and its
 count), which are hashed by group and value; group-level numbers are joined back
-with hot groups salted, and exact quantiles first locate the value bin that holds a rank
-and then sort that bin only.
+with hot groups salted, and exact quantiles count cells of values until the cell that
+holds a rank is small enough to sort.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.scalars import is_finite
+from tapewright.operators.ordered import landed
 
 # A group is hot when it holds more than one part in HOT_PARTS of all rows, so there are
 # fewer than HOT_PARTS hot groups. Their runs are split into SALTS pieces.
 HOT_PARTS = 1_000
 SALTS = 256
-# Value bins per e-fold of |x|+1 used to narrow down a rank.
-BINS_PER_EFOLD = 256
+# Cells per factor e in the first round of a selection, cells that a crowded one is split
+# into, and values that are sorted together at most.
+CELLS_PER_EFOLD = 256
+SPLIT = 65_536
+SMALL = 4_096
+# Above the cell number of any finite size, so that signed numbers never meet zero (fixed value).
+OFFSET = 200_000
 
 # Grid of the power transform (fixed values).
 BOX_COX_LAMBDAS = tuple(-2.0 + 0.25 * i for i in range(17))
@@ -111,41 +118,81 @@ def join_group(run_table: DataFrame, small: DataFrame, keys: Sequence[str],
 
 
 def value_bin(x: Column) -> Column:
-    """A bin number that never decreases with x."""
-    return F.floor(F.signum(x) * F.log1p(F.abs(x)) * float(BINS_PER_EFOLD))
+    """A bin number that never decreases with x, coarse near zero."""
+    return F.floor(F.signum(x) * F.log1p(F.abs(x)) * float(CELLS_PER_EFOLD))
+
+
+def value_cell(x: Column) -> Column:
+    """A cell number that never decreases with x: sign, then CELLS_PER_EFOLD cells for each factor e."""
+    size = F.floor(F.ln(F.abs(x)) * float(CELLS_PER_EFOLD)) + OFFSET
+    return F.when(x > 0, size).when(x < 0, -size).otherwise(0).cast("bigint")
 
 
 def order_statistics(run_table: DataFrame, keys: Sequence[str],
                      ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """Exact values at zero-based ranks; each rank is a function of the group size."""
-    binned = run_table.withColumn("__bin", value_bin(F.col("x")))
-    in_group = Window.partitionBy(*keys)
-    up_to = in_group.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = binned.groupBy(*keys, "__bin").agg(F.sum("c").alias("__in")).select(
-        *keys, "__bin", "__in",
-        (F.sum("__in").over(up_to) - F.col("__in")).alias("__before"),
-        F.sum("__in").over(in_group).alias("n"),
-    )
-    wanted = {name: rank(F.col("n")).cast("bigint") for name, rank in ranks.items()}
-    bins = bins.withColumns({f"__r_{k}": r for k, r in wanted.items()})
-
-    def holds(name: str, low: Column, count: Column) -> Column:
-        r = F.col(f"__r_{name}")
-        return (r >= low) & (r < low + count)
-
-    any_rank = F.lit(False)
-    for name in ranks:
-        any_rank = any_rank | holds(name, F.col("__before"), F.col("__in"))
-    located = bins.where(any_rank).drop("__in")
-    within = (
-        Window.partitionBy(*keys, "__bin").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ranked = binned.join(located, [*keys, "__bin"]).withColumn(
-        "__low", F.col("__before") + F.sum("c").over(within) - F.col("c"))
-    return ranked.groupBy(*keys).agg(
-        F.first("n").alias("n"),
-        *[F.max(F.when(holds(k, F.col("__low"), F.col("c")), F.col("x"))).alias(k) for k in ranks],
-    )
+    """Exact values at zero-based ranks; each rank is a function of the group size.
+
+    Selection by counting: values are dealt into cells, cells are counted, and only the
+    cells that hold a rank go on. A cell of at most SMALL values is sorted; a more crowded one is
+    dealt into SPLIT cells between its own least and greatest value, its rows spread over
+    SALTS pieces. A logarithmic cell has 2^44 doubles at most, so three such rounds end.
+    ``run_table`` is read twice: pass a written table where it is costly.
+    """
+    keys = list(keys)
+    cell = [*keys, "__at", "__cell"]
+    rows = run_table.select(*keys, "x", "c", F.lit(0).alias("__at"), value_cell(F.col("x")).alias("__cell"))
+    total = Window.partitionBy(*keys)
+    cells = _counted(rows, cell).withColumns(
+        {"n": F.sum("__in").over(total), "__below": F.lit(0).cast("bigint")})
+    wanted = {f"__r_{name}": rank(F.col("n")).cast("bigint") for name, rank in ranks.items()}
+    cells = cells.withColumns(wanted)
+    picked = []
+    while True:
+        up_to = Window.partitionBy(*keys, "__at").orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)
+        placed = cells.withColumn("__before", F.col("__below") + F.sum("__in").over(up_to) - F.col("__in"))
+        held = reduce(Column.__or__, (_holds(r, "__before", "__in") for r in wanted))
+        located = landed(placed.where(held).drop("__below"), "cells")   # at most one cell for each group and rank
+        crowded = (F.col("__rows") > SMALL) & (F.col("__low") < F.col("__high"))
+        picked.append(_picked(rows, located.where(~crowded), keys, wanted))
+        # Groups may have several crowded cells: these are numbered anew.
+        following = located.where(crowded).withColumn(
+            "__next", F.row_number().over(Window.partitionBy(*keys).orderBy("__at", "__cell")))
+        if following.isEmpty():
+            break
+        spread = following.select(*cell, "__next", "__low", "__high").withColumn(
+            "__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = rows.withColumn("__salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int"))
+        within = (F.col("x") - F.col("__low")) / (F.col("__high") - F.col("__low"))
+        rows = landed(salted.join(spread, [*cell, "__salt"]).select(
+            *keys, "x", "c", F.col("__next").alias("__at"), F.floor(within * float(SPLIT)).alias("__cell")), "crowded")
+        open_cells = following.select(
+            *keys, F.col("__next").alias("__at"), "n", F.col("__before").alias("__below"), *wanted)
+        cells = _counted(rows, cell).join(open_cells, [*keys, "__at"])
+    whole = picked[0]
+    for part in picked[1:]:
+        whole = whole.unionByName(part)
+    if len(picked) > 1:
+        whole = whole.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(r).alias(r) for r in wanted])
+    return whole.withColumnsRenamed({r: name for r, name in zip(wanted, ranks)})
+
+
+def _counted(rows: DataFrame, cell: list[str]) -> DataFrame:
+    return rows.groupBy(*cell).agg(F.sum("c").alias("__in"), F.count(F.lit(1)).alias("__rows"),
+                                   F.min("x").alias("__low"), F.max("x").alias("__high"))
+
+
+def _holds(rank: str, below: str, count: str) -> Column:
+    return (F.col(rank) >= F.col(below)) & (F.col(rank) < F.col(below) + F.col(count))
+
+
+def _picked(rows: DataFrame, located: DataFrame, keys: list[str], wanted: Collection[str]) -> DataFrame:
+    """The values at the wanted ranks that the located cells hold: keys, n, one column for each rank."""
+    within = Window.partitionBy(*keys, "__at", "__cell").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    few = rows.join(located.select(*keys, "__at", "__cell", "__before", "n", *wanted), [*keys, "__at", "__cell"])
+    # One exchange serves the sort and the grouping.
+    ranked = few.repartition(*keys).withColumn("__lower", F.col("__before") + F.sum("c").over(within) - F.col("c"))
+    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *[
+        F.max(F.when(_holds(r, "__lower", "c"), F.col("x"))).alias(r) for r in wanted])
 
 
 def quantiles(run_table: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
@@ -175,9 +222,13 @@ def quartiles(run_table: DataFrame, keys: Sequence[str]) -> DataFrame:
 def mad(run_table: DataFrame, medians: DataFrame, keys: Sequence[str],
         hot: DataFrame | None = None) -> DataFrame:
     """Median absolute deviation from the group's median."""
-    centred = join_group(run_table, medians.select(*keys, "median"), keys, hot)
-    deviations = centred.groupBy(*keys, F.abs(F.col("x") - F.col("median")).alias("x")).agg(
-        F.sum("c").alias("c"))
+    return mad_of(landed(join_group(run_table, medians.select(*keys, "median"), keys, hot), "centred"), keys)
+
+
+def mad_of(planned: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same from runs that carry their group's ``median``. Deviations need no merging: a
+    value occurs twice at most."""
+    deviations = planned.select(*keys, F.abs(F.col("x") - F.col("median")).alias("x"), "c")
     return quantiles(deviations, keys, {"mad": 0.5}).drop("n")
 
 
@@ -189,15 +240,16 @@ def mode_estimate(run_table: DataFrame, spread: DataFrame, keys: Sequence[str],
     to the smallest value. Others: bin width from the iqr, else from the stddev; ties go
     to the last bin; a group without spread gives its single value.
     """
+    return mode_of(join_group(run_table, spread.select(*keys, *PLAN), keys, hot), keys)
+
+
+def mode_of(planned: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same from runs that carry PLAN."""
     root = F.pow(F.col("n").cast("double"), F.lit(1.0 / 3.0))
     width = F.when(F.col("iqr") > 0, F.col("iqr") * 2.0 / root).when(
         F.col("stddev") > 0, F.col("stddev") * 3.5 / root)
     bins = F.greatest(F.ceil((F.col("maximum") - F.col("minimum")) / F.col("__w")), F.lit(1))
-    plan = spread.select(
-        *keys, "n", "minimum", F.when(F.col("n") > SMALL_MODE_N, width).alias("__w"),
-        "maximum",
-    ).withColumn("__bins", bins).drop("maximum")
-    joined = join_group(run_table, plan, keys, hot)
+    joined = planned.withColumn("__w", F.when(F.col("n") > SMALL_MODE_N, width)).withColumn("__bins", bins)
     index = F.least(F.floor((F.col("x") - F.col("minimum")) / F.col("__w")), F.col("__bins") - 1)
     histogram = joined.groupBy(
         *keys, "n", "minimum", "__w", index.alias("__i"),
@@ -219,15 +271,21 @@ def kde_peaks(run_table: DataFrame, spread: DataFrame, keys: Sequence[str],
     ``spread`` has n, minimum, maximum and stddev per group. The sums over values are
     partial aggregates: a task ships one row per group and grid point.
     """
-    n = F.col("n").cast("double")
-    flat = ~F.coalesce(F.col("stddev") > 0, F.lit(False))
-    plan = spread.select(
-        *keys, "n", "minimum",
-        (F.col("stddev") * 1.06 * F.pow(n, F.lit(-0.2))).alias("__h"),
+    curved = spread.select(*keys, *(c for c in PLAN if c != "iqr")).where((F.col("n") >= 3) & ~_flat())
+    return kde_of(join_group(run_table, curved, keys, hot), spread, keys)
+
+
+def _flat() -> Column:
+    return ~F.coalesce(F.col("stddev") > 0, F.lit(False))
+
+
+def kde_of(planned: DataFrame, spread: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same from runs that carry PLAN."""
+    flat = _flat()
+    grid = planned.where((F.col("n") >= 3) & ~flat).select(
+        *keys, "x", "c", "minimum",
+        (F.col("stddev") * 1.06 * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("__h"),
         ((F.col("maximum") - F.col("minimum")) / float(KDE_STEPS)).alias("__step"),
-    ).where((F.col("n") >= 3) & ~flat)
-    grid = join_group(run_table, plan, keys, hot).select(
-        *keys, "x", "c", "n", "minimum", "__h", "__step",
         F.explode(F.sequence(F.lit(0), F.lit(KDE_STEPS))).alias("__g"),
     )
     u = (F.col("minimum") + F.col("__step") * F.col("__g") - F.col("x")) / F.col("__h")
@@ -244,20 +302,65 @@ def kde_peaks(run_table: DataFrame, spread: DataFrame, keys: Sequence[str],
     return counted.select(*keys, peaks.cast("double").alias("kde_peaks"))
 
 
+# What the statistics of a group's runs need to know of the group.
+PLAN = ("n", "minimum", "maximum", "stddev", "iqr")
+
+
 def summarize(values: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
-    """All statistics of a group in one row (the dip test apart).
+    """All statistics of a group in one row (the dip test apart). ``values`` is read twice."""
+    return _summary(landed(runs(values, keys, x), "runs"), moments(values, keys, x), keys)
 
-    Several branches read ``values``; pass a written table where it is costly.
-    """
+
+def summarize_runs(run_table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same where only distinct values ``x`` and their counts ``c`` are known. The table is
+    read several times: pass a written one."""
+    return _summary(run_table, moments_of_runs(run_table, keys), keys)
+
+
+def _summary(counted: DataFrame, base: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
-    counted = runs(values, keys, x)
-    base = moments(values, keys, x)
-    quarts = quartiles(counted, keys).drop("n")
-    spread = base.join(quarts, keys)
-    hot = hot_groups(counted, keys)
+    spread = landed(base.join(quartiles(counted, keys).drop("n"), keys), "spread")
+    total = spread.agg(F.sum("n").alias("__total"))  # one row
+    hot = spread.crossJoin(F.broadcast(total)).where(F.col("n") * HOT_PARTS > F.col("__total")).select(*keys)
+    planned = landed(join_group(counted, spread.select(*keys, "median", *PLAN), keys, hot), "planned")
     return (
         spread
-        .join(mad(counted, quarts, keys, hot), keys)
-        .join(mode_estimate(counted, spread, keys, hot), keys)
-        .join(kde_peaks(counted, base, keys, hot), keys)
+        .join(mad_of(planned, keys), keys)
+        .join(mode_of(planned, keys), keys)
+        .join(kde_of(planned, spread, keys), keys)
     )
+
+
+def moments_of_runs(run_table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``moments`` from runs: sums first, then weighted powers of the distance from the mean."""
+    keys = list(keys)
+    x, c = F.col("x"), F.col("c")
+    sums = landed(run_table.groupBy(*keys).agg(
+        F.sum("c").alias("n"), F.sum(x * c).alias("total"), F.min("x").alias("minimum"), F.max("x").alias("maximum"),
+    ).withColumn("mean", F.when(F.col("minimum") == F.col("maximum"), F.col("minimum"))
+                 .otherwise(F.col("total") / F.col("n"))), "sums")
+    total = sums.agg(F.sum("n").alias("__total"))  # one row
+    hot = sums.crossJoin(F.broadcast(total)).where(F.col("n") * HOT_PARTS > F.col("__total")).select(*keys)
+    centred = join_group(run_table, sums.select(*keys, "mean"), keys, hot).withColumn("__d", x - F.col("mean"))
+    d = F.col("__d")
+    aggregates = [F.sum(d * d * c).alias("__s2"), F.sum(d * d * d * c).alias("__s3"), F.sum(d * d * d * d * c).alias("__s4"),
+                  F.min(x > 0).alias("__positive"), F.sum(F.ln(F.when(x > 0, x)) * c).alias("__sum_log")]
+    for i, lam in enumerate(BOX_COX_LAMBDAS):
+        # Only used where all values, hence their mean, are positive.
+        log_x, log_mean = F.ln(F.when(x > 0, x)), F.ln(F.when(F.col("mean") > 0, F.col("mean")))
+        y = log_x - log_mean if abs(lam) < BOX_COX_ZERO else F.exp(log_x * lam) - F.exp(log_mean * lam)
+        aggregates += [F.sum(y * c).alias(f"__y{i}"), F.sum(y * y * c).alias(f"__yy{i}")]
+    n = F.col("n").cast("double")
+    s2, one_value = F.col("__s2"), F.col("minimum") == F.col("maximum")
+    out = sums.join(centred.groupBy(*keys).agg(*aggregates), keys)
+    out = out.withColumns({
+        f"__var{i}": F.when(one_value, 0.0).otherwise((F.col(f"__yy{i}") - F.col(f"__y{i}") * F.col(f"__y{i}") / n) / n)
+        for i in range(len(BOX_COX_LAMBDAS))})
+    out = out.withColumn("stddev", F.when(one_value & (F.col("n") > 1), 0.0).when(F.col("n") > 1, F.sqrt(s2 / (n - 1.0))))
+    spread = F.col("stddev") > 0
+    return out.select(
+        *keys, "n", "total", "minimum", "maximum", "mean", "stddev",
+        F.when(spread, F.sqrt(n) * F.col("__s3") / F.pow(s2, F.lit(1.5))).alias("skew"),
+        F.when(spread, n * F.col("__s4") / (s2 * s2)).alias("kurtosis"),
+        F.when(spread, F.col("stddev") / F.greatest(F.abs("mean"), F.lit(CV_FLOOR))).alias("cv"),
+        _best_lambda().alias("bc"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tapewright.operators import hygiene as H
 from tapewright.operators import stats as ST
+from tapewright.operators.ordered import landed
 from tapewright.operators.windows import assign_windows, price_bars
 from tapewright.plans import queries_trades as QT
 from tapewright.plans import views as V
@@ -80,7 +81,7 @@ def moments(spark, d):
   select instrument_id, window_start_ns, n, round(q1, 6) as q1, round(median, 6) as median,
     round(q3, 6) as q3, round(iqr, 6) as iqr from dv_moments"""))
 def quartiles(spark, d):
-    q = ST.quartiles(ST.runs(weekly_values(spark, d), KEYS, "x"), KEYS)
+    q = ST.quartiles(landed(ST.runs(weekly_values(spark, d), KEYS, "x"), "runs"), KEYS)
     return q.select(*KEYS, "n", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3", "iqr")])
 
 
@@ -88,7 +89,7 @@ def quartiles(spark, d):
   select instrument_id, window_start_ns, round(quantile_cont(abs(x - median), 0.5), 6) as mad
   from dv join dv_moments using (instrument_id, window_start_ns) group by all"""))
 def mad(spark, d):
-    runs = ST.runs(weekly_values(spark, d), KEYS, "x")
+    runs = landed(ST.runs(weekly_values(spark, d), KEYS, "x"), "runs")
     out = ST.mad(runs, ST.quartiles(runs, KEYS), KEYS)
     return out.select(*KEYS, F.round("mad", 6).alias("mad"))
 
@@ -148,7 +149,7 @@ _K = "instrument_id, window_start_ns"
   select {_K}, round(mode, 6) as mode from ({sql_mode('dv', 'dv_moments', _K)})"""))
 def mode_estimate(spark, d):
     values = weekly_values(spark, d)
-    runs = ST.runs(values, KEYS, "x")
+    runs = landed(ST.runs(values, KEYS, "x"), "runs")
     spread = ST.moments(values, KEYS, "x", box_cox=False).join(
         ST.quartiles(runs, KEYS).drop("n"), KEYS)
     return ST.mode_estimate(runs, spread, KEYS).select(*KEYS, F.round("mode", 6).alias("mode"))
