@@ -91,12 +91,18 @@ V.define_view("long_values", ("exposed", "fx_underlying_trades"), f"""
     trade_ts_ns // {MONTH_NS} * {MONTH_NS} + {MONTH_NS}, '{schemas.UNDERLYING_SERIES}', abs(price * size)
   from fx_underlying_trades""")
 _SK = f"{_K}, series"
-V.define_view("long_moments", ("long_values",), f"""
+
+
+def sql_moments(values: str) -> str:
+    return f"""
   select *, q3 - q1 as iqr, case when stddev > 0 then stddev / greatest(abs(mean), 1e-9) end as cv
   from (select {_SK}, count(*) as n, sum(x) as total, min(x) as minimum, max(x) as maximum, avg(x) as mean,
     stddev_samp(x) as stddev, quantile_cont(x, 0.25) as q1, quantile_cont(x, 0.5) as median,
     quantile_cont(x, 0.75) as q3
-  from long_values group by {_SK})""")
+  from {values} group by {_SK})"""
+
+
+V.define_view("long_moments", ("long_values",), sql_moments("long_values"))
 
 
 @query("dollar_exposure", sql=V.with_views("exposed", """
@@ -160,24 +166,24 @@ _DIGITS = {"total": 2, "minimum": 4, "maximum": 4, "mean": 4, "stddev": 4, "skew
            "median": 4, "q3": 4, "iqr": 4, "mad": 4, "cv": 6, "mode": 4, "bc": 2, "kde_peaks": 0}
 
 
-def _sql_summary() -> str:
+def _sql_summary(values: str = "long_values", base: str = "long_moments") -> str:
     moments = f"""
       select {_SK}, round(case when s2 > 0 then sqrt(n0) * s3 / pow(s2, 1.5) end, 5) as skew,
         round(case when s2 > 0 then n0 * s4 / (s2 * s2) end, 5) as kurtosis
       from (select {_SK}, count(*) as n0, sum(pow(x - mean, 2)) as s2, sum(pow(x - mean, 3)) as s3,
           sum(pow(x - mean, 4)) as s4
-        from long_values join long_moments using ({_SK}) group by {_SK})"""
+        from {values} join {base} using ({_SK}) group by {_SK})"""
     mad = f"""
       select {_SK}, quantile_cont(abs(x - median), 0.5) as mad
-      from long_values join long_moments using ({_SK}) group by {_SK}"""
+      from {values} join {base} using ({_SK}) group by {_SK}"""
     plain = ", ".join(f"round({c}, {_DIGITS[c]}) as {c}" for c in (
         "total", "minimum", "maximum", "mean", "stddev", "q1", "median", "q3", "iqr", "mad", "cv", "mode"))
     return f"""
-  select {_SK}, n, {plain}, skew, kurtosis, bc, kde_peaks from long_moments
+  select {_SK}, n, {plain}, skew, kurtosis, bc, kde_peaks from {base}
     left join ({moments}) using ({_SK}) left join ({mad}) using ({_SK})
-    left join ({QS.sql_mode('long_values', 'long_moments', _SK)}) using ({_SK})
-    left join ({QS.sql_box_cox('long_values', _SK)}) using ({_SK})
-    left join ({QS.sql_kde('long_values', 'long_moments', _SK)}) using ({_SK})"""
+    left join ({QS.sql_mode(values, base, _SK)}) using ({_SK})
+    left join ({QS.sql_box_cox(values, _SK)}) using ({_SK})
+    left join ({QS.sql_kde(values, base, _SK)}) using ({_SK})"""
 
 
 def _values(spark, d):
@@ -209,7 +215,14 @@ def _core_digits(column: str) -> int:
     return 4
 
 
-def _sql_feature_core() -> str:
+V.define_view("month_stock", ("fx_underlying_trades",), f"""
+  select instrument_id as symbol, '{MONTH}' as "window", trade_ts_ns // {MONTH_NS} * {MONTH_NS} as window_start_ns,
+    trade_ts_ns // {MONTH_NS} * {MONTH_NS} + {MONTH_NS} as window_end_ns, trade_ts_ns, seq, price, size
+  from fx_underlying_trades""")
+
+
+def _sql_feature_core(values: str = "long_values", base: str = "long_moments", stock: str = "month_stock",
+                      exposed: str = "exposed") -> str:
     picks = []
     for series in schemas.SERIES:
         for column in _CORE:
@@ -218,11 +231,10 @@ def _sql_feature_core() -> str:
                 source = {"q2": "median"}.get(name, name)
                 picks.append(f"max({source}) filter (series = '{series}') as {column}")
     stock_bars = f"""
-      select instrument_id as symbol, '{MONTH}' as "window", trade_ts_ns // {MONTH_NS} * {MONTH_NS} as window_start_ns,
-        trade_ts_ns // {MONTH_NS} * {MONTH_NS} + {MONTH_NS} as window_end_ns,
+      select {_K},
         min_by(price, row(trade_ts_ns, seq)) as underlying_price_open, max(price) as underlying_price_high,
         min(price) as underlying_price_low, max_by(price, row(trade_ts_ns, seq)) as underlying_price_close
-      from fx_underlying_trades group by all"""
+      from {stock} group by all"""
     mixes = f"""
       select {_K}, {_sql_mix()}, {_sql_share('P', 'price < intrinsic')} as puts_below_intrinsic_pct,
         {_sql_share('P', 'price > intrinsic')} as puts_above_intrinsic_pct,
@@ -230,14 +242,14 @@ def _sql_feature_core() -> str:
         {_sql_share('P', "side = 'Unknown'")} as puts_aggressor_unknown_pct,
         {_sql_share('C', "side = 'Unknown'")} as calls_aggressor_unknown_pct,
         round(nullif(sum(notional) filter (contract_direction = 'C'), 0), 2) as calls_dollar_value
-      from exposed group by all"""
+      from {exposed} group by all"""
     return f"""
   select {_K}, {', '.join(_CORE)} from (
-    select {_K}, {', '.join(picks)} from ({_sql_summary()}) group by {_K}) w
+    select {_K}, {', '.join(picks)} from ({_sql_summary(values, base)}) group by {_K}) w
   left join ({stock_bars}) using ({_K}) left join ({mixes}) using ({_K})"""
 
 
-@query("feature_row_core", sql=V.with_views("long_values long_moments", _sql_feature_core()))
+@query("feature_row_core", sql=V.with_views("long_values long_moments month_stock", _sql_feature_core()))
 def feature_row_core(spark, d):
     """The feature row at a known volatility, the dip columns left out."""
     rows = X.feature_rows(spark, enriched_options(spark, d, vol=F.lit(QO.TEST_VOL)), stock(spark, d), [MONTH])

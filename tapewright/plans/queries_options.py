@@ -88,8 +88,8 @@ def sql_rate(points: str, tau: str) -> tuple[str, str]:
     low, high = f"{points}[{below}]", f"{points}[{below} + 1]"
     rate = f"""case when {below} = 0 then {points}[1].rate
       when {below} = len({points}) then {points}[len({points})].rate
-      else ({low}.rate * {low}.tenor * ({high}.tenor - {tau}) + {high}.rate * {high}.tenor * ({tau} - {low}.tenor))
-        / ({tau} * ({high}.tenor - {low}.tenor)) end"""
+      else ({low}.rate * {low}.tenor + ({high}.rate * {high}.tenor - {low}.rate * {low}.tenor)
+        * (({tau} - {low}.tenor) / ({high}.tenor - {low}.tenor))) / {tau} end"""
     return rate, f"coalesce({below} = len({points}), false)"
 
 

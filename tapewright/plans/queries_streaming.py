@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapewright import schemas
 from tapewright.functions import scalars as S
 from tapewright.operators import classify as C
+from tapewright.operators.ordered import landed
+from tapewright.plans import queries_features as QF
 from tapewright.plans import queries_options as QO
 from tapewright.plans import queries_trades as QT
 from tapewright.plans import views as V
 from tapewright.plans.registry import query
 from tapewright.session import fresh_dir
 from tapewright.streaming import enrich as E
+from tapewright.streaming import features as LF
 from tapewright.streaming import tape
 from tapewright.streaming import windows as W
 
@@ -154,3 +158,58 @@ def stream_watermark_meta(spark, d):
         "checkpointLocation", fresh_dir(spark, "meta-state")).start().awaitTermination()
     return spark.read.parquet(out).groupBy("source", "quality", "completeness", "watermark_ts_ns").agg(
         F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------- feature rows
+LENGTHS = {"720h": 720, "1440h": 1440, "4320h": 4320}
+_LENGTHS = ", ".join(f"('{label}', {hours * 3600 * 10**9})" for label, hours in LENGTHS.items())
+MIDDLE_NS = 1_592_179_200 * 10**9   # 2020-06-15: what comes before arrives first
+
+
+def _closed(source: str, columns: str) -> str:
+    """Rows of a relation in every length's windows that the watermark has passed at the end."""
+    return f"""
+  select * from (
+    select {columns}, l as "window", trade_ts_ns // n * n as window_start_ns, trade_ts_ns // n * n + n as window_end_ns
+    from {source}, (values {_LENGTHS}) as t(l, n)), live_mark where window_end_ns <= mark"""
+
+
+V.define_view("live_mark", ("exposed", "month_stock"), f"""
+  select greatest((select max(trade_ts_ns) from exposed), (select max(trade_ts_ns) from month_stock)) - {DELAY_NS} as mark""")
+V.define_view("live_exposed", ("exposed", "live_mark"), _closed(
+    "exposed", 'exposed.* exclude ("window", window_start_ns, window_end_ns)'))
+V.define_view("live_stock", ("month_stock", "live_mark"), _closed("month_stock", "symbol, trade_ts_ns, seq, price, size"))
+V.define_view("live_values", ("live_exposed", "live_stock"), f"""
+  select {QF._K}, {QF._RIGHT} || e as series, x from live_exposed,
+    lateral (values ('dadvv', dadvv), ('signed_dadvv', signed_dadvv), ('gadvv', gadvv),
+      ('signed_gadvv', signed_gadvv)) as t(e, x)
+  union all select {QF._K}, '{schemas.UNDERLYING_SERIES}', abs(price * size) from live_stock""", materialized=True)
+V.define_view("live_moments", ("live_values",), QF.sql_moments("live_values"), materialized=True)
+
+
+# A mean near zero leaves the cv fewer digits than the other columns.
+_LIVE_DIGITS = {c: 4 if c.endswith("_cv") else QF._core_digits(c) for c in QF._CORE}
+_LIVE_ROWS = QF._sql_feature_core("live_values", "live_moments", "live_stock", "live_exposed").replace(
+    "round(cv, 6) as cv", "round(cv, 4) as cv")
+
+
+@query("stream_feature_row", sql=V.with_views("live_values live_moments live_stock live_exposed", _LIVE_ROWS))
+def stream_feature_row(spark, d):
+    """Feature rows of three window lengths from live option and underlying trades. The stream
+    ends in the middle and goes on from its checkpoint, with windows half full."""
+    inputs = {
+        "options": QF.enriched_options(spark, d, vol=F.lit(QO.TEST_VOL)).select(
+            "symbol", "trade_ts_ns", "seq", "contract_direction", "strike_price", "price", "size", "underlying_price",
+            "delta", "gamma", "aggressor_side", "aggressor_confidence", "class_method"),
+        "stock": QF.stock(spark, d).select("symbol", "trade_ts_ns", "seq", "price", "size")}
+    inputs = {name: landed(rows, name) for name, rows in inputs.items()}
+    folders = {name: fresh_dir(spark, f"live-{name}") for name in inputs}
+    out, state = fresh_dir(spark, "live-features"), fresh_dir(spark, "live-features-state")
+    early = F.col("trade_ts_ns") < MIDDLE_NS
+    for part in (early, ~early):
+        for name, rows in inputs.items():
+            rows.where(part).write.mode("append").parquet(folders[name])
+        streams = [spark.readStream.schema(rows.schema).parquet(folders[name]) for name, rows in inputs.items()]
+        LF.stream_feature_rows(*streams, list(LENGTHS), DELAY, out, state).awaitTermination()
+    rows = spark.read.parquet(out)
+    return rows.select(*QF.KEYS, *[F.round(c, k).alias(c) for c, k in _LIVE_DIGITS.items()])
