@@ -27,10 +27,10 @@ def gapped_curves(spark, d):
     return curves(spark, d).where(F.unix_date("curve_date") % 11 != 0)
 
 
-def rough_quotes(spark, d):
+def rough_quotes(spark, d, read=V.table):
     """Underlying quotes with crossed, locked and empty ones mixed in."""
     seq, bid, ask = F.col("seq"), F.col("bid"), F.col("ask")
-    return V.underlying_quotes(spark, d).withColumns({
+    return V.underlying_quotes(spark, d, read).withColumns({
         "ask": F.when(seq % 29 == 0, bid - 0.5).when((seq % 31 == 0) | (seq % 37 == 0), bid)
         .when(seq % 43 == 0, F.lit(0.0)).otherwise(ask),
         "bid": F.when((seq % 41 == 0) | (seq % 43 == 0), F.lit(0.0)).otherwise(bid),
@@ -94,7 +94,10 @@ def sql_rate(points: str, tau: str) -> tuple[str, str]:
 
 
 _RATE, _EXTRA = sql_rate("points", "tau")
-V.define_view("opt_inputs", ("opt_mid",), f"""
+
+
+def sql_inputs(source: str) -> str:
+    return f"""
   select *, case when stop = 0 then any_rate end as rate, stop = 0 and late = 0 as priced,
     cast(case when stop <> 0 then stop else late + case when extra then 2048 else 0 end end as bigint)
       as flags
@@ -104,7 +107,10 @@ V.define_view("opt_inputs", ("opt_mid",), f"""
         else strike_price - mid end, 0) - 1e-4 then 1026 else 0 end as late,
       {_RATE} as any_rate, {_EXTRA} as extra
     from (select *, case when expiry_ts_ns > trade_ts_ns then
-        (expiry_ts_ns - trade_ts_ns) / 1e9 / 31536000e0 end as tau from opt_mid))""", materialized=True)
+        (expiry_ts_ns - trade_ts_ns) / 1e9 / 31536000e0 end as tau from {source}))"""
+
+
+V.define_view("opt_inputs", ("opt_mid",), sql_inputs("opt_mid"), materialized=True)
 
 
 def sql_greeks(source: str, vol: str) -> str:

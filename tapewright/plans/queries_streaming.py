@@ -213,3 +213,36 @@ def stream_feature_row(spark, d):
         LF.stream_feature_rows(*streams, list(LENGTHS), DELAY, out, state).awaitTermination()
     rows = spark.read.parquet(out)
     return rows.select(*QF.KEYS, *[F.round(c, k).alias(c) for c, k in _LIVE_DIGITS.items()])
+
+
+# ------------------------------------------------------------------- live quotes
+V.define_view("quote_mark", ("fx_option_trades", "fx_underlying_quotes"), f"""
+  select (greatest((select max(trade_ts_ns) from fx_option_trades), (select max(quote_ts_ns) from fx_underlying_quotes))
+    - {DELAY_NS}) // 1000000 as mark_ms""")
+V.define_view("quoted_live", ("opt_mid", "curves", "quote_mark"), """
+  select opt_mid.* exclude (points), (select arg_max(points, curve_date) from curves) as points
+  from opt_mid, quote_mark where trade_ts_ns // 1000000 < mark_ms""")
+V.define_view("inputs_live", ("quoted_live",), QO.sql_inputs("quoted_live"), materialized=True)
+V.define_view("overlaid_live", ("inputs_live",), QO.sql_greeks("inputs_live", f"{QO.TEST_VOL}e0"), materialized=True)
+
+
+@query("stream_enrich_live", sql=V.with_views("overlaid_live", f"""
+  select seq, contract, trade_ts_ns, nbbo_bid, nbbo_ask, nbbo_ts_ns, nbbo_age_us, iv, {QO._ROUNDED}, flags as greeks_flags
+  from overlaid_live"""))
+def stream_enrich_live(spark, d):
+    """Quotes and option trades as two streams. Both end in the middle and go on from the checkpoint."""
+    inputs = {"trades": V.option_trades(spark, d), "quotes": QO.rough_quotes(spark, d)}
+    times = {"trades": "trade_ts_ns", "quotes": "quote_ts_ns"}
+    folders = {name: fresh_dir(spark, f"live-{name}") for name in inputs}
+    out, state = fresh_dir(spark, "live-greeks"), fresh_dir(spark, "live-greeks-state")
+    curves = QO.curves(spark, d)
+    for early in (True, False):
+        for name, rows in inputs.items():
+            rows.where((F.col(times[name]) < MIDDLE_NS) == early).write.mode("append").parquet(folders[name])
+        trades, quotes = (spark.readStream.schema(inputs[n].schema).parquet(folders[n]) for n in ("trades", "quotes"))
+        E.enrich_live(trades, quotes, lambda batch: curves, QO.STALE_US, DELAY, out, state, QO.DIVIDEND,
+                      vol=F.lit(QO.TEST_VOL), bucket_ns=90 * DAY_NS).awaitTermination()
+    return spark.read.parquet(out).select(
+        "seq", "contract", "trade_ts_ns", "nbbo_bid", "nbbo_ask", "nbbo_ts_ns", "nbbo_age_us", "iv",
+        F.round("delta", 7).alias("delta"), F.round("gamma", 7).alias("gamma"), F.round("vega", 6).alias("vega"),
+        F.round("theta", 6).alias("theta"), "greeks_flags")

@@ -99,10 +99,10 @@ def option_trades(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     )
 
 
-def underlying_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def underlying_quotes(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     key = F.col("o_orderkey")
     mid = (key % 21) / 2.0 + 95.0
-    return table(spark, sf_dir, "orders").select(
+    return read(spark, sf_dir, "orders").select(
         _letter("o_custkey").alias("instrument_id"),
         ((_days("o_orderdate") * 86_400 + OPEN_SECOND + key % SESSION_SECONDS)
          * 1_000_000_000).alias("quote_ts_ns"),

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.functions.scalars import utc_date
+from tapewright.functions.scalars import floor_div, utc_date
 from tapewright.operators import greeks as G
 from tapewright.operators import hygiene
+from tapewright.operators.asof import NBBO_COLUMNS, mark_stale
+from tapewright.operators.ordered import landed
+from tapewright.streaming.tape import BUCKET_NS, stream_lookup
 
 SCHEMA_VERSION = 2
 
@@ -26,27 +29,54 @@ def enrich_stream(
     curves_at: Callable[[int], DataFrame], staleness_us: int, out: str, checkpoint: str,
     dividend: float = 0.0, trigger: dict | None = None,
 ):
-    """Start the sink. Each micro-batch is written under its batch id, so a repeated batch
-    replaces itself. A restart with the same ``checkpoint`` goes on with the next batch id;
+    """Start the sink over a table of quotes. Each micro-batch is written under its batch id, so a
+    repeated batch replaces itself. A restart with the same ``checkpoint`` goes on with the next batch id;
     a new checkpoint needs a new ``out``. ``trigger`` holds the arguments of the trigger; by
     default the query takes what is there and ends. Until there is a curve, rows carry the no-curve flag and no Greeks.
 
     ``curves_at`` gives the curves known at a batch; the newest one is used for all rows.
     """
 
+    def enriched(batch: DataFrame, curves: DataFrame) -> DataFrame:
+        return G.enrich_greeks(batch, underlying_quotes, curves, staleness_us, dividend)
+
+    return _start(trades, enriched, curves_at, out, checkpoint, trigger)
+
+
+def enrich_live(
+    trades: DataFrame, underlying_quotes: DataFrame, curves_at: Callable[[int], DataFrame], staleness_us: int, delay: str,
+    out: str, checkpoint: str, dividend: float = 0.0, vol: Column | None = None, trigger: dict | None = None,
+    bucket_ns: int = BUCKET_NS,
+):
+    """The same with quotes as a second stream. A trade waits for the watermark and then takes the
+    latest quote of its underlying in event order, from keyed state: a quote is read once,
+    and the state keeps the last one of each underlying and what is younger than the delay.
+    ``seq`` breaks ties in both streams."""
+    names = list(NBBO_COLUMNS)
+    found = stream_lookup(underlying_quotes, trades, delay, names, trade_key="underlying", bucket_ns=bucket_ns)
+    age = floor_div(F.col("trade_ts_ns") - F.col("quote_ts"), 1_000)
+    quoted = found.select(*trades.columns, *[F.col("quote")[c].alias(f"nbbo_{c}") for c in names],
+                          F.col("quote_ts").alias("nbbo_ts_ns"), age.alias("nbbo_age_us"))
+
+    def enriched(batch: DataFrame, curves: DataFrame) -> DataFrame:
+        return G.enrich_quoted(mark_stale(batch, staleness_us), curves, dividend, vol=vol)
+
+    return _start(quoted, enriched, curves_at, out, checkpoint, trigger)
+
+
+def _start(rows: DataFrame, enriched: Callable[[DataFrame, DataFrame], DataFrame],
+           curves_at: Callable[[int], DataFrame], out: str, checkpoint: str, trigger: dict | None):
     def write(batch: DataFrame, batch_id: int) -> None:
-        curves = curves_at(batch_id)
-        newest = curves.agg(F.max_by("points", "curve_date").alias("points"),
-                            F.max("curve_date").alias("curve_date"))
+        batch = landed(batch, "live-batch")   # a batch is computed once, however often it is used
+        newest = curves_at(batch_id).agg(F.max_by("points", "curve_date").alias("points"))
         # The newest curve stands for every day: date it at the first day of the batch.
         first_day = batch.agg(utc_date(F.min("trade_ts_ns")).alias("first"))
         current = newest.where(F.col("points").isNotNull()).crossJoin(first_day).select(
             F.col("first").alias("curve_date"), "points")
-        enriched = G.enrich_greeks(batch, underlying_quotes, current, staleness_us, dividend)
-        stamped(enriched).write.mode("overwrite").option("compression", "zstd").parquet(
+        stamped(enriched(batch, current)).write.mode("overwrite").option("compression", "zstd").parquet(
             f"{out}/batch_id={batch_id}")
 
     return (
-        trades.writeStream.foreachBatch(write).trigger(**(trigger or {"availableNow": True}))
+        rows.writeStream.foreachBatch(write).trigger(**(trigger or {"availableNow": True}))
         .option("checkpointLocation", checkpoint).start()
     )
