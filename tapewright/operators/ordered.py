@@ -3,9 +3,12 @@
 An instrument may hold a third of all rows, so a plain
 ``Window.partitionBy(instrument)`` would sort that third in one task. Here time is
 cut into slices: the window runs inside (key, slice), and what a slice needs from
-earlier slices is a single value, carried forward over the slice summary. The
-summary has one row per (key, slice): its length per key is bounded by the time
-span divided by the slice length, whatever the number of rows.
+earlier slices is a single value, carried forward over the slice summary.
+
+Slices are an hour long. Hours that hold too many rows of a key are found by counting first and
+cut into parts, crowded parts again (``crowded_slices``), so a busy hour, or a burst
+within it, spreads over tasks as quiet hours do. The summary has one row per key and slice
+that has rows.
 """
 
 from __future__ import annotations
@@ -21,6 +24,45 @@ from tapewright.session import fresh_dir
 # One hour: a symbol with 10^11 rows a month spreads over 720 tasks, and ten years of
 # slices are under 90 000 summary rows per key.
 SLICE_NS = 3_600 * NANOS
+# A slice is crowded above this many rows, or above one part in PARTS of all rows if that is
+# more: so fewer than PARTS are, which is small enough to broadcast. Crowded slices are cut into FAN.
+SLICE_ROWS = 1_000_000
+PARTS = 65_536
+FAN = 256
+
+
+def crowded_slices(df: DataFrame, keys: Sequence[str], ts: str, slice_ns: int = SLICE_NS) -> list[tuple[int, DataFrame]]:
+    """Per round: a slice length, and the slices of this length that are too crowded, as
+    ``keys, __slice``. Empty where no slice is crowded. Reads keys and times only."""
+    inside, length, depth, rounds = df.select(*keys, F.col(ts).alias("__ts")), slice_ns, 0, []
+    inside = inside.withColumn("__slice", floor_div("__ts", length) * F.lit(length).cast("bigint"))
+    while True:
+        sizes = inside.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__rows"))
+        total, most = sizes.agg(F.sum("__rows"), F.max("__rows")).first()
+        depth = depth or max(SLICE_ROWS, (total or 0) // PARTS)
+        if (most or 0) <= depth or length == 1:
+            return rounds
+        crowded = landed(sizes.where(F.col("__rows") > depth).select(*keys, "__slice"), "crowded-slices")
+        rounds.append((length, crowded))
+        length = max(1, length // FAN)
+        inside = inside.join(F.broadcast(crowded), [*keys, "__slice"]).withColumn("__slice", _part("__ts", length))
+
+
+def _part(ts: str, length: int) -> Column:
+    """First time of the part of ``__slice`` that a time falls into."""
+    return F.col("__slice") + floor_div(F.col(ts) - F.col("__slice"), length) * F.lit(length).cast("bigint")
+
+
+def with_slice(df: DataFrame, keys: Sequence[str], ts: str, slice_ns: int = SLICE_NS) -> DataFrame:
+    """df with ``__slice``, the first time of the slice that a row belongs to: an hour, or a part
+    of a crowded one. A key has at most FAN slices more for each crowded one."""
+    out = df.withColumn("__slice", floor_div(ts, slice_ns) * F.lit(slice_ns).cast("bigint"))
+    for length, crowded in crowded_slices(df, keys, ts, slice_ns):
+        marked = F.broadcast(crowded.withColumn("__crowded", F.lit(True)))   # fewer than PARTS rows
+        out = out.join(marked, [*keys, "__slice"], "left").withColumn(
+            "__slice", F.when(F.col("__crowded"), _part(ts, max(1, length // FAN))).otherwise(F.col("__slice"))
+        ).drop("__crowded")
+    return out
 
 
 def carry_forward(
@@ -39,12 +81,11 @@ def carry_forward(
     ``order`` must start with ``ts`` and be total. ``include_current=False``, or for single
     names ``earlier_only``, looks at earlier rows only. ``keep`` drops rows after the
     look-back (quotes, say). ``df`` is read twice, once for the rows and once for the slice
-    summary: look-backs with one key belong in one call, and a look-back that needs the
+    summary, after a count of its keys and times: look-backs with one key belong in one call, and a look-back that needs the
     result of another should read it from a table (``landed``).
     """
     names = list(values)
-    based = df.withColumns({"__slice": floor_div(ts, slice_ns)} | {
-        f"__v_{n}": v for n, v in values.items()})
+    based = with_slice(df, keys, ts, slice_ns).withColumns({f"__v_{n}": v for n, v in values.items()})
 
     def within(name):
         end = 0 if include_current and name not in earlier_only else -1
