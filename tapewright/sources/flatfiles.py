@@ -6,8 +6,11 @@ numbers parse leniently (text that is no number becomes 0).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,20 +19,68 @@ from tapewright.functions import scalars as S
 KEY_COLUMN = "ticker"   # a column of every layout
 
 
+HEAD = 1 << 16          # bytes read at a time from the head of a file
+# Endings of compressed files that any reader opens alike; others are left to Spark's reader.
+COMPRESSED = (".gz", ".bz2", ".zst")
+OTHER_CODECS = (".snappy", ".lz4", ".deflate", ".lzo")
+
+
+def _head(uri: str) -> str | None:
+    """The first line of a file that is not blank; empty if there is none. Null: cannot be opened here."""
+    if uri.lower().endswith(OTHER_CODECS):
+        return None
+    try:
+        store, path = fs.FileSystem.from_uri(uri)
+        kind = "detect" if uri.lower().endswith(COMPRESSED) else None
+        stream = store.open_input_stream(path, compression=kind, buffer_size=HEAD)
+    except (pa.ArrowException, OSError, ImportError):
+        return None
+    with stream:
+        rest = b""
+        while block := stream.read(HEAD):
+            *lines, rest = re.split(rb"[\r\n]", rest + block)
+            for line in lines:
+                if line.strip():
+                    return line.decode("utf-8", "replace")
+    return rest.decode("utf-8", "replace")
+
+
+def _heads(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"path": batch.column("path"), "value": pa.array(
+            [_head(uri) for uri in batch.column("uri").to_pylist()], pa.string())})
+
+
+def _scanned_heads(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path and first line of files that only Spark's reader opens; one pass over them."""
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"))
+    # Rows of a block keep their order, so the smallest number in the first block is the first line.
+    return (lines.where("block = 0 and trim(value) <> ''").groupBy("path")
+            .agg(F.min_by("value", "at").alias("value")))
+
+
 def _headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
     """Header line -> the files that begin with it.
 
     The header is the first line of a file that is not blank, whatever it looks like; what
     reaches the driver is that line and the name of each file. A file whose first line does not
-    name the ticker has no header, and an error says so."""
-    lines = spark.read.text(paths).select(
-        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"))
-    # Rows of a block keep their order, so the smallest number in the first block is the first line.
-    firsts = lines.where("block = 0 and trim(value) <> ''").groupBy("path").agg(F.min_by("value", "at").alias("value"))
+    name the ticker has no header, and an error says so.
+
+    Tasks over the listing open each file and read its head alone, so the bytes of the data are
+    read once, by the scan. Only files in a store or codec that tasks cannot open themselves are
+    scanned as text for their first lines."""
+    listing = spark.read.format("binaryFile").load(paths).select("path", F.col("_metadata.file_path").alias("uri"))
+    rows = listing.mapInArrow(_heads, "path string, value string").collect()
+    unopened = [row["path"] for row in rows if row["value"] is None]
+    if unopened:
+        rows = [row for row in rows if row["value"] is not None] + _scanned_heads(spark, unopened).collect()
     found: dict[str, list[str]] = {}
-    for row in firsts.collect():
+    for row in rows:
         header = row["value"].removeprefix("\ufeff")
+        if not header.strip():
+            continue
         if KEY_COLUMN not in (name.strip().strip('"').strip().lower() for name in header.split(",")):
             raise ValueError(f"no header with a column {KEY_COLUMN} in {row['path']}")
         found.setdefault(header, []).append(row["path"])
