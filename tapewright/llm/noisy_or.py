@@ -20,6 +20,7 @@ columns may have any name.
 from __future__ import annotations
 
 import re
+import zlib
 from array import array
 from collections import Counter
 from dataclasses import dataclass, field
@@ -33,10 +34,8 @@ from tapewright.llm.common import quoted
 
 SAMPLE = 6000
 MIN_DOCS = 4
-ROUNDS = 250
 RATE = 0.1
-SPARSE = 1e-4
-START_BIAS, END_BIAS = -7.0, -9.5
+START_BIAS = -7.0
 STEM = 4      # letters that inflected forms of a word share
 NEVER = -700.0  # bias of a model without words
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -55,10 +54,21 @@ def sentence_words(text: str, start: int, end: int) -> set[str]:
     return found
 
 
+@dataclass(frozen=True)
+class Settings:
+    """What choose() picks by folds inside the training rows; the values here are its choice."""
+    end_bias: float = -9.5
+    sparse: float = 1e-4
+    rounds: int = 250
+
+
+GRID = [Settings(b, s, r) for b in (-8.0, -9.5, -11.0) for s in (0.0, 1e-4, 1e-3) for r in (120, 250)]
+
+
 @dataclass
 class Model:
     leak: float
-    bias: float = END_BIAS
+    bias: float
     weights: dict[str, float] = field(default_factory=dict)
 
     def sentence_scores(self, text: str | None) -> np.ndarray:
@@ -71,7 +81,7 @@ class Model:
         return float(1 - (1 - self.leak) * np.prod(1 - self.sentence_scores(text)))
 
 
-def fit(texts: list[str | None], labels: list[int]) -> Model:
+def fit(texts: list[str | None], labels: list[int], settings: Settings = Settings()) -> Model:
     """Fit to documents with a label each. Full-batch Adam; the result is deterministic."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
@@ -96,10 +106,10 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     w = np.zeros(len(names) + 2)       # words, bias, leak
     w[-2], w[-1] = START_BIAS, np.log(y.mean() / (1 - y.mean()))
     first, second = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, ROUNDS + 1):
+    for t in range(1, settings.rounds + 1):
         # Sentences start open to blame and end innocent unless their words tell, so that
         # thousands of clean ones do not add up; what nothing explains goes to the leak.
-        w[-2] = START_BIAS + (END_BIAS - START_BIAS) * t / ROUNDS
+        w[-2] = START_BIAS + (settings.end_bias - START_BIAS) * t / settings.rounds
         z = np.bincount(row, w[col], n_rows) + w[-2]
         p = 1 / (1 + np.exp(-z))
         p = np.minimum(p, 1 - 1e-12)
@@ -114,7 +124,7 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
         step = RATE / (np.sqrt(second / (1 - 0.99 ** t)) + 1e-8)
         w -= step * first / (1 - 0.9 ** t)
         words = w[:-2]
-        w[:-2] = np.sign(words) * np.maximum(np.abs(words) - step[:-2] * SPARSE, 0)
+        w[:-2] = np.sign(words) * np.maximum(np.abs(words) - step[:-2] * settings.sparse, 0)
     kept = {n: float(v) for n, v in zip(names, w[:-2]) if abs(v) > 1e-3}
     return Model(float(1 / (1 + np.exp(-w[-1]))), float(w[-2]), kept)
 
@@ -124,15 +134,54 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
-          label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fit to at most sample labelled documents that are not held out."""
+def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample: int) -> list:
+    """k, t, y of at most sample labelled documents that are not held out (twice that, where ids repeat)."""
     marked = labels.select(quoted(doc_id).alias("k"), quoted(label).alias("y")).where(
         F.col("y").isNotNull() & ~held_out(F.col("k")))
     chosen = marked.orderBy(F.xxhash64("k"), "k", "y").limit(sample)
-    rows = (docs.select(quoted(doc_id).alias("k"), quoted(text).alias("t")).join(chosen, "k")
+    return (docs.select(quoted(doc_id).alias("k"), quoted(text).alias("t")).join(chosen, "k")
             .orderBy("k", "y", F.xxhash64("t")).limit(2 * sample).collect())
-    return fit([r.t for r in rows], [int(r.y) for r in rows])
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
+          label: str = "toxic", sample: int = SAMPLE, settings: Settings = Settings()) -> Model:
+    """Fit to at most sample labelled documents that are not held out."""
+    rows = _labelled(docs, labels, doc_id, text, label, sample)
+    return fit([r.t for r in rows], [int(r.y) for r in rows], settings)
+
+
+def inner_fold(key) -> int:
+    """0, 1 or 2 for a row that is not held out: crc32 of the id as text leaves 0, 1 or 3 when divided by 4."""
+    return {0: 0, 1: 1, 3: 2}[zlib.crc32(str(key).encode()) % 4]
+
+
+def choose(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
+           sample: int = SAMPLE, grid: list[Settings] = GRID) -> list[tuple[float, Settings]]:
+    """(mean log loss over the inner folds, settings), best first.
+
+    Each of three folds of the training rows is scored by a model of the other two. Held-out
+    rows are not read. The fits, one for each settings and fold, are spread over tasks."""
+    spark = docs.sparkSession
+    rows = [(inner_fold(r.k), r.t, int(r.y)) for r in _labelled(docs, labels, doc_id, text, label, sample)]
+    shared = spark.sparkContext.broadcast(rows)   # at most 2 * sample rows
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for number, fold in zip(batch["number"], batch["fold"]):
+                known = [r for r in shared.value if r[0] != fold]
+                model = fit([r[1] for r in known], [r[2] for r in known], grid[number])
+                p = np.array([model.score(r[1]) for r in shared.value if r[0] == fold])
+                y = np.array([r[2] for r in shared.value if r[0] == fold])
+                p = np.clip(p, 1e-6, 1 - 1e-6)
+                out.append((number, float(-np.where(y > 0, np.log(p), np.log1p(-p)).sum()), len(y)))
+            yield pd.DataFrame(out, columns=["number", "loss", "n"])
+
+    jobs = spark.range(3 * len(grid)).selectExpr("int(id div 3) as number", "int(id % 3) as fold")
+    spread = jobs.repartitionByRange(3 * len(grid), "number", "fold")
+    losses = (spread.mapInPandas(run, "number int, loss double, n long").groupBy("number")
+              .agg((F.sum("loss") / F.sum("n")).alias("loss")).collect())
+    return sorted(((r.loss, grid[r.number]) for r in losses), key=lambda x: (x[0], GRID.index(x[1]) if x[1] in GRID else 0))
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -54,3 +54,15 @@ def test_odd_rows(model, spark):
     assert noisy_or.train(df, empty).score("anything") == 0
     one = spark.createDataFrame([(3, 1), (4, None)], "doc_id long, toxic int")
     assert noisy_or.train(df, one).leak in (0.0, 1.0)
+
+
+def test_settings_are_chosen_without_held_out_rows(spark):
+    texts = ["you idiot moron. the and of" if i % 3 == 0 else "the and of. here it is" for i in range(240)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(240)]
+    labels = [[(i, (i % 3 == 0) != (flip and held[i])) for i in range(240)] for flip in (False, True)]
+    grid = [noisy_or.Settings(rounds=60), noisy_or.Settings(rounds=2)]
+    found = [noisy_or.choose(docs, spark.createDataFrame([(i, int(y)) for i, y in ys], "doc_id long, toxic int"), grid=grid)
+             for ys in labels]
+    assert found[0] == found[1] and found[0][0][1] == grid[0]
+    assert {noisy_or.inner_fold(i) for i in range(240) if not held[i]} == {0, 1, 2}
