@@ -2,17 +2,17 @@
 
 A document's lines (those with a word) are hashed. In every window of ``WINDOW``
 consecutive lines the smallest hash, the rightmost if it repeats, is selected as a
-fingerprint. A run of at least WINDOW lines that occurs twice therefore shares a
-fingerprint at the same place of both copies. Only fingerprints that are found at two
-or more places go on. Places are not joined in pairs and no match is extended line by
-line. Instead every window, not only one for each selected place, is compared whole, all its
-lines, with the first place in (doc_id, line) order that has the same lines. A repeated run
-is the union of its windows, so the lines found are those that extending every pair both ways
-would find. Every later copy of a run is deleted. The fingerprints only spare windows that
-share none from the comparison. Extending from the first place of a fingerprint alone would not do:
-its neighbours may differ there while a later place repeats the whole run.
+fingerprint; a place is kept once, however many windows select it, with the hashes of up
+to WINDOW - 1 lines on either side. A run of WINDOW lines that occurs twice therefore has
+the same fingerprint at the same place of both copies. Places whose fingerprint stands
+nowhere else go no further. Positions are joined by fingerprint and neighbours: a place
+belongs to one run of WINDOW lines for each offset at which it may lie in one, and meets
+the first place in (doc_id, line) order for each of them, as the first place of a
+fingerprint alone may stand between other neighbours. Every such pair is extended line by
+line both ways, over the lines carried; a longer run is the union of the matches of its
+places, which lie at most WINDOW apart. The later lines are deleted.
 Runs of fewer than WINDOW lines stay unless
-``short_words`` is given; then windows of one line up to WINDOW - 1 are made too.
+``short_words`` is given; then windows of one line up to WINDOW - 1 select places too.
 
 A place is compared with the first place of its lines only, never with every other
 one, so a line that a third of the documents share costs one row per occurrence: its
@@ -28,7 +28,7 @@ any name.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,52 +43,88 @@ def _worded(lines: Column) -> Column:
     return F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x, F.lit(SPACES)) != "", i)), lambda i: i.isNotNull())
 
 
-def _places(n: Column, size: int) -> Column:
-    """start and size of every window of so many lines among n."""
-    none = F.array().cast("array<struct<start:int,size:int>>")
-    return F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), lambda i: F.struct(
-        i.alias("start"), F.lit(size).alias("size")))).otherwise(none)
+BYTES = 16   # of a line's hash
 
 
-def windows(rows: DataFrame, window: int = WINDOW, short_words: int | None = None) -> DataFrame:
-    """doc, tid, start, size, fingerprint, run of every window; run is the hash of all its lines.
+def _selected(hashes: Column, size: int) -> Column:
+    """Places that the windows of so many lines select."""
+    def place(start: Column) -> Column:
+        part = F.slice(hashes, start + 1, size)
+        return (start + size - F.array_position(F.reverse(part), F.array_min(part))).cast("int")
 
-    With short_words, windows of fewer lines and at least so many words are made as well.
-    Lines are hashed to 128 bits, so places are told apart by content for any corpus."""
+    none = F.array().cast("array<int>")
+    return F.when(F.size(hashes) >= size, F.transform(F.sequence(F.lit(0), F.size(hashes) - size), place)).otherwise(none)
+
+
+def places(rows: DataFrame, window: int = WINDOW, sizes: Sequence[int] = (WINDOW,)) -> DataFrame:
+    """doc, tid, place, fingerprint of every selected place, and what surrounds it.
+
+    around holds the hashes of the lines within window - 1 of the place (within the longest of
+    sizes, if that is less), counts their words, and mid is the place among them. Lines are
+    hashed to 128 bits, so places are told apart by content for any corpus."""
+    reach = max(sizes) - 1
     lines = rows.withColumn("lines", F.split(whole(F.col("text")), "\n")).drop("text")
     at = lines.withColumn("at", _worded(F.col("lines")))
     line = lambda i: F.get("lines", i)
-    # A single line has a word, so where one word is enough, windows of one line cover all longer ones.
-    sizes = [window] if short_words is None else [1] if short_words <= 1 else [*range(1, window), window]
     counts = F.transform("at", lambda i: F.size(words(line(i)))) if len(sizes) > 1 else F.array().cast("array<int>")
     hashed = at.select("doc", "tid", F.transform("at", lambda i: F.md5(line(i).cast("binary"))).alias("h"),
                        counts.alias("c"))
-    each = F.concat(*[_places(F.size("h"), k) for k in sizes])
-    starts = hashed.select("doc", "tid", "h", "c", F.explode(each).alias("w")).select("doc", "tid", "h", "c", "w.*")
+    each = F.array_distinct(F.concat(*[_selected(F.col("h"), k) for k in sizes]))
+    spots = hashed.select("doc", "tid", "h", "c", F.explode(each).alias("place"))
+    low = F.greatest(F.col("place") - reach, F.lit(0))
+    length = F.col("place") + reach + 1 - low
+    return spots.select("doc", "tid", "place", F.unhex(F.get("h", F.col("place"))).alias("fingerprint"),
+                        F.unhex(F.array_join(F.slice("h", low + 1, length), "")).alias("around"),
+                        F.slice("c", low + 1, length).alias("counts"), (F.col("place") - low).alias("mid"))
+
+
+def _hash(around: str, i: Column, n: int = 1) -> Column:
+    """n hashes from position i on."""
+    return F.substring(F.col(around), i * BYTES + 1, F.lit(n * BYTES))
+
+
+def _keys(sizes: Sequence[int]) -> Column:
+    """One key for each run of so many lines that holds the place: size, offset and the lines."""
+    held = F.length("around") / BYTES
+    keys = []
+    for size in sizes:
+        for offset in range(size):
+            start = F.col("mid") - offset
+            keys.append(F.when((start >= 0) & (start + size <= held), F.concat(
+                F.lit(bytes([size, offset])), _hash("around", start, size))))
+    return F.array_compact(F.array(*keys))
+
+
+def _equal_lines(step: int, reach: int) -> Column:
+    """Lines equal to those of the first place, going one way from the place."""
+    found = F.lit(reach)
+    for i in range(reach, 0, -1):
+        here, there = F.col("mid") + step * i, F.col("first.mid") + step * i
+        inside = ((here >= 0) & (there >= 0) & (here < F.length("around") / BYTES)
+                  & (there < F.length("first.around") / BYTES))
+        found = F.when(inside & (_hash("around", here) == _hash("first.around", there)), found).otherwise(i - 1)
+    return found
+
+
+def later_runs(rows: DataFrame, window: int = WINDOW, short_words: int | None = None) -> DataFrame:
+    """doc, tid, starts: start and size of each document's matches with lines that come earlier somewhere."""
+    # A single line has a word, so where one word is enough, windows of one line cover all longer ones.
+    sizes = [window] if short_words is None else [1] if short_words <= 1 else [*range(1, window + 1)]
+    every = stage(places(rows, window, sizes), "line-places")
+    shared = every.groupBy("fingerprint").count().where("count > 1").select("fingerprint")
+    keyed = (stage(every.join(shared, "fingerprint"), "line-shared")
+             .select("doc", "tid", "place", "mid", "around", "counts", F.explode(_keys(sizes)).alias("key")))
+    first = keyed.groupBy("key").agg(F.min(F.struct("doc", "tid", "place", "mid", "around")).alias("first"))
+    later = keyed.join(first, "key").where(F.struct("doc", "tid", "place") > F.struct("first.doc", "first.tid", "first.place"))
+    reach = max(sizes) - 1
+    left, right = _equal_lines(-1, reach), _equal_lines(1, reach)
+    matches = later.select("doc", "tid", "counts", "mid", (F.col("place") - left).alias("start"),
+                           left.alias("left"), (left + right + 1).alias("size"))
     if len(sizes) > 1:
-        held = F.aggregate(F.slice("c", F.col("start") + 1, F.col("size")), F.lit(0), lambda x, y: x + y)
-        starts = starts.where((F.col("size") == window) | (held >= short_words))
-    part = starts.select("doc", "tid", "start", "size", F.slice("h", F.col("start") + 1, F.col("size")).alias("part"))
-    least = F.array_min("part")
-    # The rightmost of equal minima is the selected place; the winnowing of the window.
-    back = F.array_position(F.reverse("part"), least)
-    return part.select("doc", "tid", "start", "size", least.alias("fingerprint"),
-                       (F.col("start") + F.col("size") - back).cast("int").alias("place"),
-                       F.md5(F.array_join("part", "").cast("binary")).alias("run"))
-
-
-def later_starts(rows: DataFrame, window: int = WINDOW, short_words: int | None = None) -> DataFrame:
-    """doc, tid, starts: start and size of each document's windows whose lines come earlier somewhere."""
-    every = stage(windows(rows, window, short_words), "line-windows")
-    places = every.select("fingerprint", "doc", "tid", "place")
-    spot = F.struct("doc", "tid", "place")
-    shared = (places.groupBy("fingerprint").agg(F.min(spot).alias("low"), F.max(spot).alias("high"))
-              .where("low <> high").select("fingerprint"))
-    here = F.struct("doc", "tid", "start")
-    candidates = stage(every.join(shared, "fingerprint"), "line-candidates")
-    first = candidates.groupBy("fingerprint", "run").agg(F.min(here).alias("first"))
-    return (candidates.join(first, ["fingerprint", "run"]).where(here > F.col("first"))
-            .groupBy("doc", "tid").agg(F.collect_set(F.struct("start", "size")).alias("starts")))
+        of_match = F.slice("counts", F.col("mid") - F.col("left") + 1, F.col("size"))
+        n_words = F.aggregate(of_match, F.lit(0), lambda x, y: x + y)
+        matches = matches.where((F.col("size") >= window) | (n_words >= short_words))
+    return matches.groupBy("doc", "tid").agg(F.collect_set(F.struct("start", "size")).alias("starts"))
 
 
 def remove_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
@@ -99,7 +135,7 @@ def remove_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     so many words, those of documents with fewer lines included (1: every repeated line).
     finish is applied to kept as soon as it is made."""
     rows, single = keyed_rows(docs, doc_id, text)
-    cut = rows.join(later_starts(single, window, short_words), ["doc", "tid"], "left")
+    cut = rows.join(later_runs(single, window, short_words), ["doc", "tid"], "left")
     lines = cut.withColumn("lines", F.split(whole(F.col("text")), "\n")).drop("text")
     at = lines.withColumn("at", _worded(F.col("lines")))
     covered = F.array_distinct(F.flatten(F.transform(
