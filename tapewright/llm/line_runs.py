@@ -135,7 +135,8 @@ def remove_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     so many words, those of documents with fewer lines included (1: every repeated line).
     finish is applied to kept as soon as it is made."""
     rows, single = keyed_rows(docs, doc_id, text)
-    cut = rows.join(later_runs(single, window, short_words), ["doc", "tid"], "left")
+    # The runs grow with the documents, so they are never broadcast, small as they may be: one plan at every size.
+    cut = rows.join(later_runs(single, window, short_words).hint("merge"), ["doc", "tid"], "left")
     lines = cut.withColumn("lines", F.split(whole(F.col("text")), "\n")).drop("text")
     at = lines.withColumn("at", _worded(F.col("lines")))
     covered = F.array_distinct(F.flatten(F.transform(
