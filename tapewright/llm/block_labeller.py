@@ -10,12 +10,18 @@ There are no labelled pages, so the labels come from page structure: on a bounde
 one below a menu, footer, advert and the like is not, and other blocks teach nothing.
 Every sampled page is also learned from in disguises: containers under other names
 and classes, and notices, sidebars, forms and comments added from its own words, so that
-the labeller does not hang on one layout. The model is trained on the driver in a
+the labeller does not hang on one layout. In part of the disguises the containers lose their
+names: they become tables, bare or randomly named ones, and what blocks look like, their
+places and neighbours must decide. The model is trained on the driver in a
 fixed number of small steps; extraction is one pass without a shuffle.
 
 Defined cases: a null, empty or blank page has an empty text; so has a page without
-main blocks; pages without an id teach nothing; tables without pages train nothing and
-give an empty result; repeated rows are extracted each; pages of any length are read whole; other columns may have any name.
+main blocks; pages without an id are sampled, by a hash of the page, only where no page has
+one; where no sampled page has a known container, long unlinked blocks that end a sentence
+teach main text and linked ones the rest; tables without pages train nothing and
+give an empty result; repeated rows are extracted each; pages of any length are read whole
+(the sample takes those of at most ``LONGEST`` characters, so what the driver holds is bounded);
+other columns may have any name.
 """
 
 from __future__ import annotations
@@ -31,10 +37,11 @@ from tapewright.llm.common import quoted
 from tapewright.llm.html_blocks import Block, blocks
 
 SAMPLE = 240
-STEPS = 450
+LONGEST = 200_000  # characters of a page that may be sampled
+STEPS = 2000
 BATCH_PAGES = 24
 CROP = 40          # blocks of a page that a training step sees
-HIDDEN = 20
+HIDDEN = 24
 PATH_DIM, WORD_DIM, WORD_ROWS = 48, 12, 2048
 RATE = 0.01
 READ = 128         # pages labelled together
@@ -59,6 +66,8 @@ ADDED = [("header",), ("div", ".header"), ("aside",), ("aside", ".sidebar"), ("d
          ("form",), ("form", ".newsletter"), ("div", ".subscribe"), ("div", ".login"), ("div", ".search", "form"),
          ("div", ".share"), ("div", ".social"), ("div", ".related"), ("section", ".comments"), ("div", ".comments"),
          ("ol", ".comments", "li", ".comment"), ("div", ".comment"), ("section", ".comments", "article")]
+NAMED = ADDED + AS_AD + AS_FOOT + AS_MENU
+NAMELESS = 0.45    # share of disguises whose containers lose their names
 WRAPS = [(), (), ("div", ".wrapper"), ("div", ".container"), ("div", ".page"), ("div",), ("div", ".site", "div", ".row")]
 
 
@@ -69,6 +78,13 @@ def structure_label(path: tuple[str, ...]) -> int:
     return 1 if any(p in MAIN for p in path) else -1
 
 
+def shape_label(b: Block) -> int:
+    """The same by the look of a block alone: 1 for prose, 0 for links, -1 unknown."""
+    if 2 * b.linked > len(b.text):
+        return 0
+    return 1 if len(b.text.split()) >= 12 and b.text[-1] in ".!?" else -1
+
+
 def _vector(word: str, size: int) -> np.ndarray:
     return np.random.default_rng(zlib.crc32(word.encode("utf-8", "replace"))).standard_normal(size) / np.sqrt(size)
 
@@ -185,7 +201,77 @@ def _padded(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def disguise(page: list[Block], rng) -> tuple[list[Block], list[int]]:
+def _nameless(rng) -> tuple[str, ...]:
+    """A container that tells nothing: bare, or under a name that is drawn anew each time."""
+    names = [f".{rng.integers(1 << 40):x}" for _ in range(2)]
+    options = [(), ("div",), ("div", names[0]), ("section", names[0]), ("div", names[0], names[1]),
+               ("div", names[0], "div", names[1]), ("div", "div"), ("center",), ("span", names[0])]
+    return options[rng.integers(len(options))]
+
+
+def strip_names(page: list[Block], known: list[int], rng) -> tuple[list[Block], list[int]]:
+    """A page whose containers have lost their names, and its labels.
+
+    Main text keeps its look. Around it stand link bars, notices and short lines made of the page's
+    own words; what cannot be told from prose without a name (adverts, comments) keeps one."""
+    words = " ".join(b.text for b in page).split()
+    table = rng.random() < 0.3
+    cell = ("table", "tr", "td") if table and rng.random() < 0.7 else ("table", "tbody", "tr", "td") if table else ()
+    wrap = () if rng.random() < 0.5 else _nameless(rng)
+    main = wrap + (cell or _nameless(rng))
+    bare = rng.random() < (0.7 if table else 0.3)     # blocks without a tag of their own
+    plain = [(), ("div",), ("p",), ("td",), ("font",), ("div", "div")][rng.integers(6)]
+    out, labels = [], []
+
+    def say(path, n, linked, end=""):
+        at = int(rng.integers(max(1, len(words) - n)))
+        text = " ".join(words[at:at + n]).rstrip(".,;:!?") + end
+        if text:
+            out.append(Block(path, text, len(text) if linked else 0))
+            labels.append(0)
+
+    def bar():
+        path = wrap + (cell or _nameless(rng)) + [(), ("p",), ("li",), ("ul", "li"), ("div",), ("td",)][rng.integers(6)]
+        for _ in range(rng.integers(1, 9)):
+            say(path, int(rng.integers(1, 6)), True)
+
+    def named():
+        path = wrap + NAMED[rng.integers(len(NAMED))] + [(), ("p",), ("li",), ("div",)][rng.integers(4)]
+        for _ in range(rng.integers(1, 4)):
+            say(path, int(rng.integers(2, 30)), rng.random() < 0.2, "." if rng.random() < 0.8 else "")
+
+    def small():
+        path = wrap + (cell or _nameless(rng)) + [(), ("p",), ("div",)][rng.integers(3)]
+        for _ in range(rng.integers(1, 3)):
+            say(path, int(rng.integers(1, 6)), rng.random() < 0.3)
+
+    for part, chance in ((small, 0.2), (bar, 0.7), (named, 0.6)):
+        if rng.random() < chance:
+            part()
+    kept = [b for b, label in zip(page, known) if label == 1]
+    if rng.random() < 0.5:             # a short article, or one without its heading
+        first = int(rng.integers(len(kept)))
+        kept = kept[first:first + int(rng.integers(2, 6))]
+    for b in kept:
+        if rng.random() < 0.08:
+            named()
+        rest = tuple(x for x in b.path if x not in ("html", "body"))
+        at = max((i for i, x in enumerate(rest) if x in MAIN), default=-1)
+        inner = rest[at + 1:]
+        heading = (f"h{rng.integers(1, 5)}",) if inner[-1:] == ("h1",) else ()
+        text, n = b.text, len(b.text.split())
+        if rng.random() < 0.2 and n > 14:
+            short = int(rng.integers(8, n))
+            text = " ".join(text.split()[:short]).rstrip(",;:") + "."
+        out.append(Block(main + (() if bare else heading or plain or inner), text, min(b.linked, len(text))))
+        labels.append(1)
+    for part, chance in ((bar, 0.5), (named, 0.7), (small, 0.3), (named, 0.4), (bar, 0.2)):
+        if rng.random() < chance:
+            part()
+    return out, labels
+
+
+def disguise(page: list[Block], known: list[int], rng) -> tuple[list[Block], list[int]]:
     """A page under other container names with added blocks, and its labels."""
     pick = lambda options: options[rng.integers(len(options))]
     wrap = pick(WRAPS)
@@ -202,15 +288,15 @@ def disguise(page: list[Block], rng) -> tuple[list[Block], list[int]]:
             out.append(Block(path, text, len(text) * int(rng.random() < 0.3)))
             labels.append(0)
 
-    for b in page:
-        label = structure_label(b.path)
+    for b, label in zip(page, known):
         rest = tuple(x for x in b.path if x not in ("html", "body"))
         if label == 1:
-            at = max(i for i, x in enumerate(rest) if x in MAIN)
+            at = max((i for i, x in enumerate(rest) if x in MAIN), default=-1)
             rest = as_main + rest[at + 1:]
         elif label == 0:
-            at = min(i for i, x in enumerate(rest) if x in OTHER)
-            kind = as_menu if rest[at] in ("nav", ".nav", ".menu") else as_foot if "foot" in rest[at] else as_ad
+            at = min((i for i, x in enumerate(rest) if x in OTHER), default=-1)
+            name = rest[at] if at >= 0 else "nav"
+            kind = as_menu if name in ("nav", ".nav", ".menu") else as_foot if "foot" in name else as_ad
             rest = kind + rest[at + 1:]
         if rng.random() < 0.06:
             add()
@@ -230,16 +316,20 @@ def train(pages: list[str | None], steps: int = STEPS, seed: int = 1) -> BiLstm:
     parsed = [p for p in map(blocks, pages) if p]
     if not parsed:
         return model
+    labelled = [[structure_label(b.path) for b in page] for page in parsed]
+    if not any(1 in known for known in labelled):
+        labelled = [[shape_label(b) for b in page] for page in parsed]
     rng = np.random.default_rng(seed)
     m1, m2 = ({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(2))
     for step in range(1, steps + 1):
         seqs, ys = [], []
         for k in rng.integers(len(parsed), size=BATCH_PAGES):
-            page = parsed[k]
-            if rng.random() < 0.7:
-                page, labels = disguise(page, rng)
-            else:
-                labels = [structure_label(b.path) for b in page]
+            page, labels = parsed[k], labelled[k]
+            as_it_is = rng.random()
+            if as_it_is < NAMELESS and 1 in labels:
+                page, labels = strip_names(page, labels, rng)
+            elif as_it_is < 0.8:
+                page, labels = disguise(page, labels, rng)
             at = int(rng.integers(max(1, len(page) - CROP + 1)))
             seqs.append(features(page)[at:at + CROP])
             ys.append(np.array(labels[at:at + CROP], float)[:, None])
@@ -273,11 +363,17 @@ def label(pages: list[list[Block]], model: BiLstm) -> list[np.ndarray]:
 
 
 def fit(pages: DataFrame, page_id: str = "page_id", page: str = "html", sample: int = SAMPLE) -> BiLstm:
-    """Train on the first sample pages by a hash of their id."""
-    rows = pages.select(quoted(page_id).alias("k"), quoted(page).alias("h")).where("h is not null")
+    """Train on the first sample pages by a hash of their id (of the page itself, where none has an id)."""
+    rows = pages.select(quoted(page_id).alias("k"), quoted(page).alias("h")).where(
+        (F.length("h") > 0) & (F.length("h") <= LONGEST))
     # Ids first: a top-k over whole pages would send sample pages from every task.
     chosen = [r.k for r in rows.select("k").orderBy(F.xxhash64("k"), "k").limit(sample).collect()]
-    found = rows.where(F.col("k").isin([k for k in chosen if k is not None])).limit(2 * sample).collect()
+    named = [k for k in chosen if k is not None]
+    if chosen and not named:
+        marks = [r.k for r in rows.select(F.xxhash64("h").alias("k")).orderBy("k").limit(sample).collect()]
+        found = rows.where(F.xxhash64("h").isin(marks)).limit(2 * sample).collect()
+        return train(sorted(r.h for r in found)[:sample])
+    found = rows.where(F.col("k").isin(named)).limit(2 * sample).collect()
     return train([r.h for r in sorted(found, key=lambda r: (r.k, r.h))][:sample])
 
 
