@@ -102,15 +102,22 @@ def _piece(piece: str) -> np.ndarray:
     return _pieces[piece]
 
 
-def features(page: list[Block]) -> np.ndarray:
-    """(blocks, WIDTH) matrix of a page."""
+def _word_mean(words: list[str]) -> np.ndarray:
+    rows = [zlib.crc32(w.encode("utf-8", "replace")) % WORD_ROWS for w in words]
+    return _WORDS[rows].mean(axis=0)
+
+
+def features(page: list[Block], memo: dict[str, np.ndarray] | None = None) -> np.ndarray:
+    """(blocks, WIDTH) matrix of a page. Training passes a memo of word vectors by text."""
     out = np.zeros((len(page), WIDTH))
     for i, b in enumerate(page):
         for piece in set(b.path) - {"html", "body"}:
             out[i, :PATH_DIM] += _piece(piece)
         words = b.text.split()
-        rows = [zlib.crc32(w.encode("utf-8", "replace")) % WORD_ROWS for w in words]
-        out[i, PATH_DIM:PATH_DIM + WORD_DIM] = _WORDS[rows].mean(axis=0)
+        mean = None if memo is None else memo.get(b.text)
+        if mean is None:
+            mean = _word_mean(words)
+        out[i, PATH_DIM:PATH_DIM + WORD_DIM] = mean
         out[i, -5:] = (np.log1p(len(b.text)) / 6, b.linked / len(b.text), np.log1p(len(words)) / 4,
                        b.text[-1] in ".!?:;\"'", i / len(page))
     return out
@@ -320,6 +327,7 @@ def train(pages: list[str | None], steps: int = STEPS, seed: int = 1) -> BiLstm:
     if not any(1 in known for known in labelled):
         labelled = [[shape_label(b) for b in page] for page in parsed]
     rng = np.random.default_rng(seed)
+    memo = {b.text: _word_mean(b.text.split()) for page in parsed for b in page}
     m1, m2 = ({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(2))
     for step in range(1, steps + 1):
         seqs, ys = [], []
@@ -331,7 +339,7 @@ def train(pages: list[str | None], steps: int = STEPS, seed: int = 1) -> BiLstm:
             elif as_it_is < 0.8:
                 page, labels = disguise(page, labels, rng)
             at = int(rng.integers(max(1, len(page) - CROP + 1)))
-            seqs.append(features(page)[at:at + CROP])
+            seqs.append(features(page, memo)[at:at + CROP])
             ys.append(np.array(labels[at:at + CROP], float)[:, None])
         x, mask = _padded(seqs)
         y = _padded(ys)[0][:, :, 0]
