@@ -463,6 +463,23 @@ def scan_manifest(spark, d):
         "aggressor_side", "nbbo_state", "delta", "greeks_flags")
 
 
+# A day from 18:00 on, in the middle of the fifteen dates that the folded trades lie on.
+_LATE_NS = 7 * S.DAY_NS + 18 * 3_600 * 10**9
+_SINCE_SQL = f"((select min(trade_ts_ns) from stored_options) // {S.DAY_NS} * {S.DAY_NS} + {_LATE_NS})"
+
+
+@query("scan_manifest_range", sql=V.with_views("stored_options", f"""
+  select trade_uid, contract, trade_ts_ns, price, size, 'Unknown' as aggressor_side
+  from stored_options where trade_ts_ns >= {_SINCE_SQL} and trade_ts_ns < {_SINCE_SQL} + {S.DAY_NS}"""))
+def scan_manifest_range(spark, d):
+    """Part of a run: partitions by the manifest's dates, files by its time bounds."""
+    root, path = _stored_run(spark, d)
+    first = stored.read_manifest(spark, path).agg(F.min("min_ts_ns")).first()[0] or 0
+    since = first // S.DAY_NS * S.DAY_NS + _LATE_NS
+    return stored.scan_run(spark, root, path, since_ns=since, until_ns=since + S.DAY_NS).select(
+        S.uid_hex("trade_uid").alias("trade_uid"), "contract", "trade_ts_ns", "price", "size", "aggressor_side")
+
+
 _NEW_PROGRESS = V.with_views("fx_trades", f"""
   select instrument_id as symbol, cast(max(hour(make_timestamp(trade_ts_ns // 1000))) as smallint) as max_hour,
     {NOW_NS} as updated_ns from fx_trades group by 1""")
