@@ -111,11 +111,15 @@ def adaptive_staleness(aged: DataFrame, key: str, warn_us: int, drop_us: int,
     return p99.select(key, F.floor(bounded).cast("bigint").alias("staleness_us"))
 
 
-def observe_ingest(df: DataFrame, ts: str, name: str = "ingest") -> tuple[DataFrame, Observation]:
-    """Attach run counters that cost no extra pass; read them after the write."""
+def observe_ingest(df: DataFrame, ts: str, days: Sequence[str] = (), name: str = "ingest") -> tuple[DataFrame, Observation]:
+    """Attach run counters that cost no extra pass; read them after the write.
+
+    ``days`` are planned UTC days (one counter each). Attach them as the last step before a write:
+    a stage that is repeated for lost shuffle files would count its rows again."""
     seen = Observation(name)
+    counters = [F.count_if(utc_date(ts) == F.lit(day).cast("date")).alias(f"day_{day}") for day in days]
     return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.min(ts).alias("min_ts_ns"),
-                      F.max(ts).alias("max_ts_ns")), seen
+                      F.max(ts).alias("max_ts_ns"), *counters), seen
 
 
 def ingest_metrics(df: DataFrame, ts: str, batch_rows: int, planned_days: DataFrame) -> DataFrame:

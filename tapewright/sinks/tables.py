@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,19 +15,25 @@ REASON_CHARS = 256
 ROWS_PER_FILE = 5_000_000
 
 
-def write_partitioned(df: DataFrame, path: str, partitions: list[str], mode: str = "append") -> None:
+def write_partitioned(df: DataFrame, path: str, partitions: list[str], mode: str = "append",
+                      observed: str | None = None, days: Sequence[str] = ()) -> dict | None:
     """ZSTD Parquet under ``partitions``.
 
     The rebalance hint gathers small partitions into few files and splits a partition
-    that holds much of the data over several tasks.
+    that holds much of the data over several tasks. With the time column ``observed``, the counters
+    of ``observe_ingest`` are taken from the rows as they are written, and returned.
     """
-    writer = df.hint("rebalance", *partitions).write.mode(mode)
+    rows, seen = df.hint("rebalance", *partitions), None
+    if observed is not None:
+        rows, seen = hygiene.observe_ingest(rows, observed, days)
+    writer = rows.write.mode(mode)
     if mode == "overwrite":
         writer = writer.option("partitionOverwriteMode", "dynamic")
     (
         writer.option("compression", "zstd").option("maxRecordsPerFile", ROWS_PER_FILE)
         .partitionBy(*partitions).parquet(path)
     )
+    return seen.get if seen is not None else None
 
 
 def option_trade_partitions(df: DataFrame) -> DataFrame:
