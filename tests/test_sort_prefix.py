@@ -1,10 +1,10 @@
-"""Sorts of look-backs end at a number; look-ups read no trades for the summary of quotes."""
+"""Sorts of look-backs and dedup end at a number; look-ups read no trades for the summary of quotes."""
 
 import re
 
 from pyspark.sql import functions as F
 
-from tapewright.operators import asof, curves
+from tapewright.operators import asof, curves, hygiene
 from tapewright.plans import views as V
 
 
@@ -30,6 +30,13 @@ def test_quotes_of_earlier_slices(spark):
     assert [got[i] for i in range(8)] == [None, 1.0, 1.0, 2.0, 2.0, 3.0, 3.0, None]
 
 
+def test_dedup_sorts_by_a_hash_first(spark):
+    rows = spark.range(100).select((F.col("id") % 10).cast("string").alias("k"), F.col("id").alias("seq"))
+    first = hygiene.dedup_first(rows, ["k"], ["seq"])
+    assert sorted((r.k, r.seq) for r in first.collect()) == [(str(i), i) for i in range(10)]
+    assert re.search(r"Sort \[_groupingexpression#\d+L ASC NULLS FIRST, k#", plan(first))
+
+
 def test_one_function_over_the_points(spark):
     points = "array(struct(0.5D as tenor, 0.01D as rate), struct(2D as tenor, 0.04D as rate)) as points"
     rows = spark.range(5).selectExpr("id", points, "element_at(array(null, 0.1D, 0.5D, 1D, 3D), cast(id + 1 as int)) as tau")
