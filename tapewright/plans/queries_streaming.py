@@ -241,7 +241,7 @@ def stream_enrich_live(spark, d):
             rows.where((F.col(times[name]) < MIDDLE_NS) == early).write.mode("append").parquet(folders[name])
         trades, quotes = (spark.readStream.schema(inputs[n].schema).parquet(folders[n]) for n in ("trades", "quotes"))
         E.enrich_live(trades, quotes, lambda batch: curves, QO.STALE_US, DELAY, out, state, QO.DIVIDEND,
-                      vol=F.lit(QO.TEST_VOL), bucket_ns=90 * DAY_NS).awaitTermination()
+                      vol=F.lit(QO.TEST_VOL)).awaitTermination()
     return spark.read.parquet(out).select(
         "seq", "contract", "trade_ts_ns", "nbbo_bid", "nbbo_ask", "nbbo_ts_ns", "nbbo_age_us", "iv",
         F.round("delta", 7).alias("delta"), F.round("gamma", 7).alias("gamma"), F.round("vega", 6).alias("vega"),

@@ -7,20 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.functions.scalars import floor_div, utc_date
+from tapewright.functions.scalars import utc_date
 from tapewright.operators import greeks as G
 from tapewright.operators import hygiene
-from tapewright.operators.asof import NBBO_COLUMNS, mark_stale
-from tapewright.operators.ordered import landed
-from tapewright.streaming.tape import BUCKET_NS, stream_lookup
+from tapewright.operators.asof import NBBO_COLUMNS, asof_join, mark_stale
+from tapewright.operators.ordered import SLICE_NS, landed
+from tapewright.streaming.tape import live_events, take_ready
 
 SCHEMA_VERSION = 2
 
 
-def stamped(batch: DataFrame, completeness: str = "Unknown") -> DataFrame:
-    """Metadata of a live batch; its watermark is the newest event."""
+def stamped(batch: DataFrame, completeness: str = "Unknown", events: DataFrame | None = None) -> DataFrame:
+    """Metadata of a live batch; its watermark is the newest event, of ``events`` if given."""
     return hygiene.with_metadata(
-        batch, "Ws", "Prelim", SCHEMA_VERSION, "live", "trade_ts_ns",
+        batch, "Ws", "Prelim", SCHEMA_VERSION, "live", "trade_ts_ns", events,
     ).withColumn("completeness", F.lit(completeness))
 
 
@@ -37,45 +37,46 @@ def enrich_stream(
     ``curves_at`` gives the curves known at a batch; the newest one is used for all rows.
     """
 
-    def enriched(batch: DataFrame, curves: DataFrame) -> DataFrame:
-        return G.enrich_greeks(batch, underlying_quotes, curves, staleness_us, dividend)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = landed(batch, "live-batch")   # a batch is computed once, however often it is used
+        curves = _newest_curve(batch, curves_at(batch_id))
+        _write(G.enrich_greeks(batch, underlying_quotes, curves, staleness_us, dividend), batch, out, batch_id)
 
-    return _start(trades, enriched, curves_at, out, checkpoint, trigger)
+    return _start(trades, write, checkpoint, trigger)
 
 
 def enrich_live(
     trades: DataFrame, underlying_quotes: DataFrame, curves_at: Callable[[int], DataFrame], staleness_us: int, delay: str,
     out: str, checkpoint: str, dividend: float = 0.0, vol: Column | None = None, trigger: dict | None = None,
-    bucket_ns: int = BUCKET_NS,
+    slice_ns: int = SLICE_NS,
 ):
     """The same with quotes as a second stream. A trade waits for the watermark and then takes the
-    latest quote of its underlying in event order, from keyed state: a quote is read once,
-    and the state keeps the last one of each underlying and what is younger than the delay.
-    ``seq`` breaks ties in both streams."""
-    names = list(NBBO_COLUMNS)
-    found = stream_lookup(underlying_quotes, trades, delay, names, trade_key="underlying", bucket_ns=bucket_ns)
-    age = floor_div(F.col("trade_ts_ns") - F.col("quote_ts"), 1_000)
-    quoted = found.select(*trades.columns, *[F.col("quote")[c].alias(f"nbbo_{c}") for c in names],
-                          F.col("quote_ts").alias("nbbo_ts_ns"), age.alias("nbbo_age_us"))
+    latest quote of its underlying in event order, by the batch join. What waits is kept in a table beside
+    the engine's own files in ``checkpoint``: the last quote of each underlying and what is younger
+    than the delay. ``seq`` breaks ties of quotes."""
+    events = live_events(underlying_quotes, trades, NBBO_COLUMNS, trade_key="underlying")
 
-    def enriched(batch: DataFrame, curves: DataFrame) -> DataFrame:
-        return G.enrich_quoted(mark_stale(batch, staleness_us), curves, dividend, vol=vol)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        ready, quotes = take_ready(landed(batch, "live-batch"), f"{checkpoint}/waiting", batch_id, delay)
+        quoted = asof_join(ready, quotes, trade_key="underlying", quote_key="tape_key", quote_ts="ts", slice_ns=slice_ns)
+        curves = _newest_curve(ready, curves_at(batch_id))
+        _write(G.enrich_quoted(mark_stale(quoted, staleness_us), curves, dividend, vol=vol), ready, out, batch_id)
 
-    return _start(quoted, enriched, curves_at, out, checkpoint, trigger)
+    return _start(events, write, checkpoint, trigger)
 
 
-def _start(rows: DataFrame, enriched: Callable[[DataFrame, DataFrame], DataFrame],
-           curves_at: Callable[[int], DataFrame], out: str, checkpoint: str, trigger: dict | None):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch = landed(batch, "live-batch")   # a batch is computed once, however often it is used
-        newest = curves_at(batch_id).agg(F.max_by("points", "curve_date").alias("points"))
-        # The newest curve stands for every day: date it at the first day of the batch.
-        first_day = batch.agg(utc_date(F.min("trade_ts_ns")).alias("first"))
-        current = newest.where(F.col("points").isNotNull()).crossJoin(first_day).select(
-            F.col("first").alias("curve_date"), "points")
-        stamped(enriched(batch, current)).write.mode("overwrite").option("compression", "zstd").parquet(
-            f"{out}/batch_id={batch_id}")
+def _newest_curve(batch: DataFrame, curves: DataFrame) -> DataFrame:
+    """The newest curve stands for every day: it is dated at the first day of the batch."""
+    newest = curves.agg(F.max_by("points", "curve_date").alias("points")).where(F.col("points").isNotNull())
+    first_day = batch.agg(utc_date(F.min("trade_ts_ns")).alias("curve_date"))
+    return landed(newest.crossJoin(first_day).select("curve_date", "points"), "live-curve")   # one row, used twice
+
+
+def _write(enriched: DataFrame, trades: DataFrame, out: str, batch_id: int) -> None:
+    stamped(enriched, events=trades).write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/batch_id={batch_id}")
+
 
+def _start(rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None):
     return (
         rows.writeStream.foreachBatch(write).trigger(**(trigger or {"availableNow": True}))
         .option("checkpointLocation", checkpoint).start()

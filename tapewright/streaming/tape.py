@@ -6,10 +6,15 @@ times, as in the batch join. A bucket is written once per micro-batch that adds
 once when the watermark reaches it, and then removed, so the state holds what is younger
 than the delay, plus one quote and one trade per key. A bucket is sorted and matched as
 arrays; no event is handled by itself. All buckets of a key belong to one task.
+
+``take_ready`` serves sinks that are given whole micro-batches: events wait in a table, and
+those that the watermark has passed go to the batch join, which cuts time into slices. There a
+busy key spreads over tasks and no row leaves the engine.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -149,6 +154,51 @@ def stream_lookup(
         F.from_json("before", trades.schema).alias("before")).select("t.*", "quote", "quote_ts", "before")
 
 
+def live_events(
+    quotes: DataFrame, trades: DataFrame, columns: Sequence[str], quote_key: str = "instrument_id",
+    trade_key: str = "instrument_id", quote_ts: str = "quote_ts_ns", trade_ts: str = "trade_ts_ns", seq: str = "seq",
+) -> DataFrame:
+    """Both streams as one: ``tape_key``, ``ts``, ``seq`` and either ``quote`` (the named columns) or ``trade``
+    (all columns). Rows without a time or key are left out; a null ``seq`` counts as 0."""
+
+    def events(df, key, ts, name, names):
+        return df.where(F.col(ts).isNotNull() & F.col(key).isNotNull()).select(
+            F.col(key).alias("tape_key"), F.col(ts).alias("ts"), F.lit(name == "trade").alias("is_trade"),
+            F.coalesce(seq, F.lit(0)).cast("bigint").alias("seq"), F.struct(*names).alias(name))
+
+    return events(quotes, quote_key, quote_ts, "quote", columns).unionByName(
+        events(trades, trade_key, trade_ts, "trade", trades.columns), allowMissingColumns=True)
+
+
+def take_ready(events: DataFrame, waiting: str, batch_id: int, delay: str) -> tuple[DataFrame, DataFrame]:
+    """Of a micro-batch of ``live_events`` and what waits from the one before: (trades that the watermark has
+    passed, quotes that they may meet), for the batch join.
+
+    The watermark is the newest event of all batches so far, in whole milliseconds, less the delay. Events older
+    than the watermark of the batch before are late: they are dropped, and their number is logged. ``waiting``
+    keeps two tables in turn, so a repeated batch finds what it found the first time. A table holds what is
+    younger than the delay and the last quote of each key. ``events`` is read several times.
+    """
+    mark = F.unix_millis(F.timestamp_millis(floor_div(F.max("ts"), 1_000_000)) - F.lit(delay).cast("interval")) * 1_000_000
+    limit = None
+    if batch_id:
+        # The newest event of all waits, as nothing has passed it.
+        held = events.sparkSession.read.schema(events.schema).parquet(f"{waiting}/{(batch_id - 1) % 2}")
+        limit = held.agg(mark).first()[0]
+        if limit is not None:
+            late = events.where(F.col("ts") < limit).count()
+            if late:
+                logging.getLogger(__name__).warning("batch %d: %d late events dropped", batch_id, late)
+        events = (events if limit is None else events.where(F.col("ts") >= limit)).unionByName(held)
+    limit = events.agg(mark).first()[0]
+    passed = F.coalesce(F.col("ts") < F.lit(limit).cast("bigint"), F.lit(False))
+    trades, quotes = (events.where(passed & (F.col("is_trade") == side)) for side in (True, False))
+    last = quotes.groupBy("tape_key").agg(F.max_by(F.struct(*events.columns), F.struct("ts", "seq")).alias("last"))
+    events.where(~passed).unionByName(last.select("last.*")).write.mode("overwrite").option(
+        "compression", "zstd").parquet(f"{waiting}/{batch_id % 2}")
+    return trades.select("trade.*"), quotes.select("tape_key", "ts", "seq", "quote.*")
+
+
 def stream_asof(quotes: DataFrame, trades: DataFrame, max_age_us: int, delay: str, ttl_ms: int | None = None,
                 bucket_ns: int = BUCKET_NS) -> DataFrame:
     """Trades of a live stream with their quote, where it is fresh, and the previous trade price."""
